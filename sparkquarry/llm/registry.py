@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import packing, splitting, tokenizer
+from . import packing, spans, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +33,21 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(tokenizer.token_sizes(table(spark, folder, "documents")))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that have 200 consecutive characters in common."""
+    return spans.SharedSpans(table(spark, folder, "documents")).pairs()
+
+
+def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document the number of its characters in shared passages, and its length."""
+    docs = table(spark, folder, "documents")
+    shared = spans.SharedSpans(docs).coverage()
+    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    return sizes.join(shared, "doc_id", "left").select("doc_id", "chars", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("shared_chars", "shared_spans")))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p4_found, p4_pieces, p7_ids, p8_containers)}
+    return {q.__name__: q for q in (p4_found, p4_pieces, p7_ids, p8_containers, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
