@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import packing, spans, splitting, tokenizer
+from . import knn, packing, spans, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,16 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "metadata"))
 
 
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar chunks of every chunk with a usable vector."""
+    return knn.nearest(table(spark, folder, "chunk_vectors"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks among each other's most similar, with a similarity of 0.80 or more."""
+    return knn.similar_pairs(p6_neighbours(spark, folder), 0.80)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_corpus(table(spark, folder, "documents"))
@@ -47,7 +57,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p4_found, p4_pieces, p7_ids, p8_containers, p9_found, p9_shared)}
+    return {q.__name__: q for q in (p4_found, p4_pieces, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
