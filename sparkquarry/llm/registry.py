@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import knn, packing, spans, splitting, tokenizer
+from . import knn, neardup, packing, spans, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,16 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "metadata"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks whose sets of three consecutive words are alike by 0.6 or more."""
+    return neardup.NearDuplicates(table(spark, folder, "metadata")).pairs()
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every chunk of at least 20 words and the number of chunks it is alike to."""
+    return neardup.NearDuplicates(table(spark, folder, "metadata")).groups()
+
+
 def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 most similar chunks of every chunk with a usable vector."""
     return knn.nearest(table(spark, folder, "chunk_vectors"))
@@ -57,7 +67,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p4_found, p4_pieces, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
+    return {q.__name__: q for q in (p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
