@@ -14,16 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, DIM = 10, 64
 #: The index is fitted on at most so many vectors, drawn by the hash of their id; every vector is indexed.
-SAMPLE = 65_536
+SAMPLE = 40_000
 #: Vectors a list and a cell (the lists of one task) aim at; lists are at most MAX_LISTS.
-LIST_SIZE, CELL_SIZE, MAX_LISTS = 150, 12_000, 16_384
+LIST_SIZE, CELL_SIZE, MAX_LISTS = 150, 10_000, 16_384
 #: Lists probed for a vector, in at most so many cells.
-PROBES, CELLS = 8, 3
+PROBES, CELLS = 8, 2
 #: Columns of the first block; width of the hypothesis test (2.1: one in thousands is lost).
 FIRST_BLOCK, EPSILON = 16, 2.1
 #: Above this share of survivors the rest of the columns is scanned for all.
@@ -196,8 +196,8 @@ def nearest(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "emb
     an id are expected to be equal and count once. Fewer than k others give fewer rows; an
     empty table gives none. Other columns are not read.
 
-    Equal vectors are searched once, whatever their number: a group of copies enters the
-    lists as one vector with the k + 1 smallest of its ids, so it can't fill a list.
+    Equal vectors are searched once, whatever their number: a map task sends a group of
+    copies as one row with the k + 1 smallest of its ids, so it can't fill a list.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -206,19 +206,27 @@ def nearest(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "emb
     share = min(1.0, 0.9 * SAMPLE / max(total, 1))
     drawn = clean.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(SAMPLE).toArrow()
     sample = _matrix(drawn.column("v").combine_chunks(), dim) if drawn.num_rows else np.zeros((0, dim), np.float32)
-    index = spark.sparkContext.broadcast(fit(sample, total, dim))
+    fitted = fit(sample, total, dim)
+    cells = len(fitted.means)
+    index = spark.sparkContext.broadcast(fitted)
 
     members = clean.select("h", "g", "id").distinct()
-    firsts = members.withColumn("place", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).filter(F.col("place") <= k + 1)
-    firsts = firsts.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    unique = clean.groupBy("h", "g").agg(F.first("v").alias("v")).join(firsts, ["h", "g"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = own.lists(_unit(_matrix(batch.column(2), dim)), PROBES)
+            ids: dict[tuple[int, int], list] = {}
+            first = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key not in ids:
+                    first.append(i)
+                ids.setdefault(key, []).append(batch.column(3)[i].as_py())
+            at = pa.array(first)
+            offers = pa.array([sorted(set(v))[: k + 1] for v in ids.values()], pa.list_(batch.column(3).type))
+            columns = [*(batch.column(j).take(at) for j in (0, 1, 2)), offers]
+            lists = own.lists(_unit(_matrix(columns[2], dim)), PROBES)
             cells = own.cell[lists]
             row, cell, home, probes = [], [], [], []
             for i, (ls, cs) in enumerate(zip(lists.tolist(), cells.tolist())):
@@ -227,13 +235,28 @@ def nearest(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "emb
                     home.append(ls[0] if c == cs[0] else -1)
                     probes.append([a for a, b in zip(ls, cs) if b == c])
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *(batch.column(j).take(at) for j in (0, 1, 2, 3)), pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32()))], ["cell", "h", "g", "v", "ids", "home", "probes"])
-
-    routed = unique.select("h", "g", "v", "ids").mapInArrow(route, f"cell int, h long, g long, v array<float>, ids array<{kind}>, home int, probes array<int>")
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *(c.take(at) for c in columns), pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32()))], ["cell", "h", "g", "v", "ids", "home", "probes"])
+
+    routed = clean.select("h", "g", "v", "id").mapInArrow(route, f"cell int, h long, g long, v array<float>, ids array<{kind}>, home int, probes array<int>")
+
+    def merge(rows: pa.Table) -> pa.Table:
+        """One row for each vector of a cell: copies may come from several batches."""
+        keys = list(zip(rows.column("h").to_pylist(), rows.column("g").to_pylist()))
+        if len(set(keys)) == len(keys):
+            return rows
+        ids: dict[tuple[int, int], set] = {}
+        first = []
+        for i, (key, own) in enumerate(zip(keys, rows.column("ids").to_pylist())):
+            if key not in ids:
+                first.append(i)
+            ids[key] = set(sorted(ids.get(key, set()) | set(own))[: k + 1])
+        rows = rows.take(pa.array(first))
+        offers = pa.chunked_array([pa.array([sorted(v) for v in ids.values()], rows.column("ids").type)])
+        return rows.set_column(rows.schema.get_field_index("ids"), "ids", offers)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
-        for rows in _by_cell(batches):
+        for rows in map(merge, _by_cell(batches)):
             x = _matrix(rows.column("v").combine_chunks(), dim)
             home = rows.column("home").to_numpy()
             probes = [np.array(p, np.int64) for p in rows.column("probes").to_pylist()]
@@ -256,9 +279,11 @@ def nearest(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "emb
             q, s, entry = q[ok], s[ok], entry[ok]
             offsets = np.searchsorted(q, np.arange(len(x) + 1)).astype(np.int32)
             structs = pa.StructArray.from_arrays([pa.array(-s, pa.float64()), pa.array(flat[entry].tolist(), rows.column("ids").type.value_type)], ["d", "id"])
-            yield pa.RecordBatch.from_arrays([rows.column("h").combine_chunks(), rows.column("g").combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), structs)], ["h", "g", "near"])
+            near = pa.ListArray.from_arrays(pa.array(offsets), structs)
+            some = pa.array(np.flatnonzero(np.diff(offsets)))
+            yield pa.RecordBatch.from_arrays([rows.column("h").combine_chunks().take(some), rows.column("g").combine_chunks().take(some), near.take(some)], ["h", "g", "near"])
 
-    parts = routed.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, f"h long, g long, near array<struct<d: double, id: {kind}>>")
+    parts = routed.repartitionById(cells, F.col("cell")).sortWithinPartitions("cell").mapInArrow(search, f"h long, g long, near array<struct<d: double, id: {kind}>>")
     merged = parts.groupBy("h", "g").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
     answers = members.join(merged, ["h", "g"]).select("id", F.posexplode(F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)).alias("rank", "n"))
     return answers.select(F.col("id").alias(id_col), (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), (-F.col("n.d")).alias("similarity"))
