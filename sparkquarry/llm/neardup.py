@@ -25,9 +25,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..runtime import materialize
 
 WORDS, LEAST_WORDS, THRESHOLD = 3, 20, 0.6
-#: Cells of the frequency sketch, whatever the size of the input: all n-grams of all texts are counted in it.
-SKETCH = 1 << 21
+#: Bits of the frequency sketch's cells: enough for SKETCH_PER_ROW cells a row, within these bounds. All n-grams of all
+#: texts are counted in it, whatever its size; a coarser order only costs time.
+SKETCH_BITS, SKETCH_PER_ROW = (16, 24), 16
 SLICES = 32
+#: N-grams that two texts must share in their prefixes, which are longer by as many; one can be shared by chance.
+MEETINGS = 4
 #: Partners of a text that are verified together; more are spread over tasks.
 PARTNERS = 2000
 #: Characters of texts worked on at once.
@@ -94,7 +97,7 @@ def _set_names(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def _ordered(grams: np.ndarray, begins: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The grams of each set in global order: by level of frequency, then by value."""
     doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    return grams[np.lexsort((grams, levels[grams >> U(64 - 21)], doc))]
+    return grams[np.lexsort((grams, levels[grams >> U(65 - len(levels).bit_length())], doc))]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
@@ -122,12 +125,12 @@ class _Bounds:
         return -(-self.p * total // (self.p + self.q))
 
     def probe(self, n):
-        """Prefix in which a set meets any like one that is not larger."""
-        return n - (-(-self.p * n // self.q)) + 1
+        """Prefix in which a set meets MEETINGS times any like one that is not larger."""
+        return n - (-(-self.p * n // self.q)) + MEETINGS
 
     def index(self, n):
-        """Prefix in which a set meets any like one that is not smaller."""
-        return n - (-(-2 * self.p * n // (self.p + self.q))) + 1
+        """Prefix in which a set meets MEETINGS times any like one that is not smaller."""
+        return n - (-(-2 * self.p * n // (self.p + self.q))) + MEETINGS
 
 
 class Trie:
@@ -197,17 +200,20 @@ class NearDuplicates:
     def _first_pass(self) -> None:
         """Names every text's set and counts all n-grams in the sketch."""
         words, least = self.words, self.least
+        rows = self.docs.select("id").count()
+        bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (SKETCH_PER_ROW * rows).bit_length()))
+        cells = 1 << bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(SKETCH, np.uint32)
+            counts = np.zeros(cells, np.uint32)
             for batch in batches:
                 for begin, texts in _texts(batch, 1):
                     index, begins, grams = gram_sets(texts, words, least)
-                    counts += np.bincount((grams >> U(64 - 21)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                    counts += np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=cells).astype(np.uint32)
                     m = len(index)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index + begin)), pa.array(_set_names(grams, begins)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "set", "slice", "counts"])
             if counts.any():
-                parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, SLICES)]
+                parts = [zlib.compress(p.astype(np.uint16).tobytes(), 1) for p in np.split(np.minimum(counts, 65_535), SLICES)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, ids), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["id", "set", "slice", "counts"])
 
         ids = to_arrow_type(self.docs.schema["id"].dataType)
@@ -218,13 +224,13 @@ class NearDuplicates:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    sums.setdefault(k, np.zeros(SKETCH // SLICES, np.uint64))
-                    sums[k] += np.frombuffer(zlib.decompress(part), np.uint32)
+                    sums.setdefault(k, np.zeros(cells // SLICES, np.uint64))
+                    sums[k] += np.frombuffer(zlib.decompress(part), np.uint16)
             levels = [np.ceil(np.log2(s.astype(float) + 1)).astype(np.uint8).tobytes() for s in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
 
         rows = both.filter(F.col("slice").isNotNull()).select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").collect()
-        levels = np.zeros((SLICES, SKETCH // SLICES), np.uint8)
+        levels = np.zeros((SLICES, cells // SLICES), np.uint8)
         for row in rows:
             levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
         self._levels = self.docs.sparkSession.sparkContext.broadcast(levels.reshape(-1))
@@ -263,10 +269,10 @@ class NearDuplicates:
                     rows = []
                     for b in np.flatnonzero(np.diff(edges)):
                         d = doc[edges[b] : edges[b + 1]]
-                        used, local = np.unique(d, return_inverse=True)
-                        rows.append((int(b), names[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), short[edges[b] : edges[b + 1]].tobytes(), local.astype(np.uint32).tobytes(), pos[edges[b] : edges[b + 1]].astype(np.uint32).tobytes()))
+                        used, times = np.unique(d, return_counts=True)
+                        rows.append((int(b), names[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), short[edges[b] : edges[b + 1]].tobytes(), times.astype(np.uint32).tobytes(), pos[edges[b] : edges[b + 1]].astype(np.uint32).tobytes()))
                     cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "names", "sizes", "grams", "docs", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "names", "sizes", "grams", "times", "places"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}
@@ -275,16 +281,17 @@ class NearDuplicates:
                     held.setdefault(b, []).append(parts)
             for parts in held.values():
                 names, sizes, grams, places = [], [], [], []
-                for nm, sz, gr, dc, pl in parts:
-                    d = np.frombuffer(dc, np.uint32)
-                    names.append(np.frombuffer(nm, np.int64)[d]), sizes.append(np.frombuffer(sz, np.uint32)[d])
+                for nm, sz, gr, times, pl in parts:
+                    t = np.frombuffer(times, np.uint32)
+                    names.append(np.repeat(np.frombuffer(nm, np.int64), t)), sizes.append(np.repeat(np.frombuffer(sz, np.uint32), t))
                     grams.append(np.frombuffer(gr, np.uint32)), places.append(np.frombuffer(pl, np.uint32))
                 parts.clear()
-                for a, b in _meetings(*map(np.concatenate, (names, sizes, grams, places)), bounds):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                for a, b, need, n in _meetings(*map(np.concatenate, (names, sizes, grams, places)), bounds):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need, pa.int32()), pa.array(n, pa.int32())], ["a", "b", "need", "n"])
 
-        blobs = self.docs.select("text").mapInArrow(post, "bucket int, names binary, sizes binary, grams binary, docs binary, places binary")
-        return blobs.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long").distinct()
+        blobs = self.docs.select("text").mapInArrow(post, "bucket int, names binary, sizes binary, grams binary, times binary, places binary")
+        met = blobs.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long, need int, n int")
+        return met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n")).filter("n >= need").select("a", "b")
 
     def links(self) -> DataFrame:
         """(a, b), a < b: different sets that are alike enough, each pair once."""
@@ -297,9 +304,7 @@ class NearDuplicates:
         asks = pairs.select("a", "part").distinct().select("a", "part", F.col("a").alias("set"))
         wanted = asks.unionByName(pairs.select("a", "part", F.col("b").alias("set")))
         one = self.members().groupBy("set").agg(F.min("id").alias("id"))
-        one = one.join(wanted.select("set").distinct(), "set", "left_semi")
-        texts = self.docs.join(one, "id").groupBy("set").agg(F.first("text").alias("text"))
-        rows = wanted.join(texts, "set").repartition("a", "part").sortWithinPartitions("a", "part", (F.col("a") != F.col("set")))
+        rows = self.docs.join(wanted.join(one, "set"), "id").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("set"), "set")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group, own, trie = None, None, Trie()
@@ -316,14 +321,14 @@ class NearDuplicates:
                             if own is not None:
                                 out += [(group[0], m) for m in trie.alike(own, bounds)]
                             group, own, trie = (a[i], part[i]), mine, Trie()
-                        else:
+                        elif sets[i] != group[0]:  # a repeated row brings the same set again
                             trie.add(mine, sets[i])
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
             if own is not None:
                 last = list(trie.alike(own, bounds))
                 yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(last), pa.int64()), pa.array(last, pa.int64())], ["a", "b"])
 
-        self._links = materialize(rows.select("a", "part", "set", "text").mapInArrow(verify, "a long, b long"), "links")
+        self._links = materialize(rows.select("a", "part", "set", "text").mapInArrow(verify, "a long, b long").distinct(), "links")
         return self._links
 
     def pairs(self) -> DataFrame:
@@ -348,38 +353,44 @@ class NearDuplicates:
         return rows.join(names, "root").select(F.col("id").alias(self.id_col), "group_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
-def _meetings(names: np.ndarray, sizes: np.ndarray, grams: np.ndarray, places: np.ndarray, bounds: _Bounds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct pairs of sets that share a gram of one bucket within the bounds."""
+def _meetings(names: np.ndarray, sizes: np.ndarray, grams: np.ndarray, places: np.ndarray, bounds: _Bounds) -> Iterator[tuple]:
+    """(a, b, need, n): pairs of sets that share ``n`` grams of one bucket within the bounds and must share ``need``."""
     order = np.lexsort((names, sizes, grams))
     names, sizes, grams, places = names[order], sizes[order].astype(np.int64), grams[order], places[order].astype(np.int64)
-    begins_indexed = places < bounds.index(sizes)
-    a_all, b_all, held = [], [], 0
+    # copies of one set come from several tasks
+    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (names[1:] != names[:-1])])
+    names, sizes, grams, places = names[new], sizes[new], grams[new], places[new]
+    indexed = places < bounds.index(sizes)
+    held: list[tuple] = []
+    total, step = 0, 1
     at = np.arange(len(grams))
-    step = 1
     while len(at):
-        # partners of a group lie behind in order of size: what fails by gram or size now fails for every further step
+        # partners of a gram lie behind in order of size: what fails by gram or size now fails for every further step
         at = at[at + step < len(grams)]
         j = at + step
         near = (grams[j] == grams[at]) & (sizes[at] * bounds.q >= bounds.p * sizes[j])
         at, j = at[near], j[near]
-        rest = 1 + np.minimum(sizes[at] - places[at], sizes[j] - places[j]) - 1
-        ok = begins_indexed[at] & (names[at] != names[j]) & (rest >= bounds.overlap(sizes[at] + sizes[j]))
-        a_all.append(np.minimum(names[at[ok]], names[j[ok]])), b_all.append(np.maximum(names[at[ok]], names[j[ok]]))
-        held += int(ok.sum())
-        if held > 2_000_000:
-            yield _distinct(a_all, b_all)
-            a_all, b_all, held = [], [], 0
+        least = bounds.overlap(sizes[at] + sizes[j])
+        # before this gram at most as many are shared as lie before it, after it as many as remain
+        most = 1 + np.minimum(places[at], places[j]) + np.minimum(sizes[at] - places[at], sizes[j] - places[j]) - 1
+        ok = indexed[at] & (most >= least)
+        x, y = names[at[ok]], names[j[ok]]
+        held.append((np.minimum(x, y), np.maximum(x, y), np.minimum(least[ok], MEETINGS)))
+        total += len(x)
+        if total > 2_000_000:
+            yield _counted(held)
+            held, total = [], 0
         step += 1
-    if held:
-        yield _distinct(a_all, b_all)
+    if total:
+        yield _counted(held)
 
 
-def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.concatenate(a), np.concatenate(b)
+def _counted(held: list[tuple]) -> tuple:
+    x, y, need = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-    return x[new], y[new]
+    x, y, need = x[order], y[order], need[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    return x[first], y[first], need[first], np.diff(np.concatenate([first, [len(x)]]))
 
 
 def connected(edges: DataFrame) -> DataFrame:
