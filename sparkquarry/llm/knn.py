@@ -22,8 +22,8 @@ K, DIM = 10, 64
 SAMPLE = 40_000
 #: Vectors a list and a cell (the lists of one task) aim at; lists are at most MAX_LISTS.
 LIST_SIZE, CELL_SIZE, MAX_LISTS = 150, 10_000, 16_384
-#: Lists probed for a vector, in at most so many cells.
-PROBES, CELLS = 8, 2
+#: Lists probed for a vector, in at most so many cells, as long as their centroid is at most MARGIN less similar than the nearest.
+PROBES, CELLS, MARGIN = 10, 4, 0.15
 #: Columns of the first block; width of the hypothesis test (2.1: one in thousands is lost).
 FIRST_BLOCK, EPSILON = 16, 2.1
 #: Above this share of survivors the rest of the columns is scanned for all.
@@ -226,10 +226,14 @@ def nearest(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "emb
             at = pa.array(first)
             offers = pa.array([sorted(set(v))[: k + 1] for v in ids.values()], pa.list_(batch.column(3).type))
             columns = [*(batch.column(j).take(at) for j in (0, 1, 2)), offers]
-            lists = own.lists(_unit(_matrix(columns[2], dim)), PROBES)
+            x = _unit(_matrix(columns[2], dim))
+            lists = own.lists(x, PROBES)
             cells = own.cell[lists]
             row, cell, home, probes = [], [], [], []
-            for i, (ls, cs) in enumerate(zip(lists.tolist(), cells.tolist())):
+            near = np.stack([np.einsum("ij,ij->i", x, own.centroids[lists[:, j]]) for j in range(lists.shape[1])], 1)
+            some = (near >= near[:, :1] - MARGIN).sum(1)
+            for i, (ls, cs, m) in enumerate(zip(lists.tolist(), cells.tolist(), some.tolist())):
+                ls, cs = ls[:m], cs[:m]
                 for c in list(dict.fromkeys(cs))[:CELLS]:
                     row.append(i), cell.append(c)
                     home.append(ls[0] if c == cs[0] else -1)
