@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import knn, neardup, packing, spans, splitting, tokenizer
+from . import encoding, knn, neardup, packing, spans, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks read with the wrong encoding and their texts as they were written."""
+    return encoding.repair_encoding(table(spark, folder, "metadata"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks whose text holds a sequence that arose by a wrong encoding."""
+    return p1_restored(spark, folder).select("chunk_id").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks over the size limit; a chunk is found when the splitter cuts it."""
     return p4_pieces(spark, folder).filter("piece = 1").select("chunk_id").distinct()
@@ -67,7 +77,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
+    return {q.__name__: q for q in (p1_found, p1_restored, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
