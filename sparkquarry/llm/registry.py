@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import encoding, knn, neardup, packing, spans, splitting, tokenizer
+from . import encoding, knn, neardup, packing, pairs, spans, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_restored(spark, folder).select("chunk_id").distinct()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective responses with their defect."""
+    return pairs.defects(table(spark, folder, "query_response"), table(spark, folder, "documents"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks over the size limit; a chunk is found when the splitter cuts it."""
     return p4_pieces(spark, folder).filter("piece = 1").select("chunk_id").distinct()
@@ -77,7 +82,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p1_found, p1_restored, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
+    return {q.__name__: q for q in (p1_found, p1_restored, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
