@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import encoding, knn, neardup, packing, pairs, spans, splitting, tokenizer
+from . import encoding, knn, neardup, packing, pairs, scans, spans, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_restored(spark, folder).select("chunk_id").distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with broken words, page furniture or misread letters."""
+    return scans.Scans(table(spark, folder, "metadata")).noisy().select("chunk_id").distinct()
+
+
+def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with scan noise and their texts as continuous paragraphs."""
+    return scans.Scans(table(spark, folder, "metadata")).restored()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective responses with their defect."""
     return pairs.defects(table(spark, folder, "query_response"), table(spark, folder, "documents"))
@@ -82,7 +92,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p1_found, p1_restored, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
+    return {q.__name__: q for q in (p1_found, p1_restored, p2_found, p2_restored, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
