@@ -198,7 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": query((CHUNKS, REQUESTS, ASKED, STATS, BM25), hits + "bm25"),
         "bm25_terms": query((CHUNKS, STATS), "SELECT term, df, round(idf_raw, 6) AS idf_raw FROM idfs"),
         "bm25_corpus": query((CHUNKS, STATS), "SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM corpus"),
-        "rrf_fusion": query(TO_MERGED, "SELECT query_id, merged_rank, chunk_id, round(rrf_score, 9) AS rrf_score, dense_rank, bm25_rank FROM merged"),
+        "rrf_fusion": query(TO_MERGED, "SELECT query_id, merged_rank, chunk_id, round(rrf_score, 9) AS rrf_score, coalesce(dense_rank, -1) AS dense_rank, coalesce(bm25_rank, -1) AS bm25_rank FROM merged"),
         "filtered_hits": query((*TO_MERGED, FILTERED), "SELECT query_id, merged_rank, chunk_id, source FROM filtered"),
         "grounding": query((*TO_MERGED, FILTERED, GROUNDED), "SELECT query_id, grounded_rank, chunk_id, overlap, array_to_string(overlap_terms, ' ') AS terms FROM grounded"),
         "search_hybrid": query(TO_RESULTS, "SELECT query_id, rank, chunk_id, source, chapter, file_type, round(rrf_score, 9) AS rrf_score, overlap, stitch_range, text FROM results"),
