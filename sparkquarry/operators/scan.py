@@ -53,12 +53,23 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, ascending: bool) -> np.nd
     return at[order[:k]]
 
 
-def _emit(query_ids: list[int], ks: list[int], scores: np.ndarray, ids: np.ndarray, ascending: bool) -> pa.RecordBatch:
-    q, c, s = [], [], []
-    for i, (query, k) in enumerate(zip(query_ids, ks)):
-        at = _best(scores[i], ids, k, ascending)
-        q.append(np.full(len(at), query, np.int64)), c.append(ids[at]), s.append(scores[i][at])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, c, s)], ["query_id", "chunk_id", "score"])
+class _Keeper:
+    """The best k rows of every question of a block over the batches of one task."""
+
+    def __init__(self, query_ids: list[int], ks: list[int], ascending: bool):
+        self.query_ids, self.ks, self.ascending = query_ids, ks, ascending
+        self.rows = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        for i, k in enumerate(self.ks):
+            at = _best(scores[i], ids, k, self.ascending)
+            own_ids, own = np.concatenate([self.rows[i][0], ids[at]]), np.concatenate([self.rows[i][1], scores[i][at]])
+            at = _best(own, own_ids, k, self.ascending)
+            self.rows[i] = own_ids[at], own[at]
+
+    def batch(self) -> pa.RecordBatch:
+        query = np.repeat(np.array(self.query_ids, np.int64), [len(ids) for ids, _ in self.rows])
+        return pa.RecordBatch.from_arrays([pa.array(query), *(pa.array(np.concatenate([r[j] for r in self.rows])) for j in (0, 1))], ["query_id", "chunk_id", "score"])
 
 
 def _ranked(hits: DataFrame, pools: DataFrame, ascending: bool) -> DataFrame:
@@ -84,7 +95,7 @@ def dense_topk(requests: DataFrame, query_vectors: DataFrame, vectors: DataFrame
         sent = vectors.sparkSession.sparkContext.broadcast(np.array([r[2] for r in rows], np.float64))
 
         def scan(batches: Iterator[pa.RecordBatch], ids=ids, ks=ks, sent=sent) -> Iterator[pa.RecordBatch]:
-            q = sent.value
+            q, kept = sent.value, _Keeper(ids, ks, True)
             step = max(1, CELLS // len(q))
             for batch in batches:
                 for begin in range(0, batch.num_rows, step):
@@ -92,7 +103,8 @@ def dense_topk(requests: DataFrame, query_vectors: DataFrame, vectors: DataFrame
                     v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     if v.shape[1] != q.shape[1]:
                         raise ValueError(f"the questions' vectors have {q.shape[1]} numbers, the chunks' {v.shape[1]}")
-                    yield _emit(ids, ks, q @ v.T, part.column(0).to_numpy(), True)
+                    kept.add(q @ v.T, part.column(0).to_numpy())
+            yield kept.batch()
 
         hits = vectors.select("chunk_id", "vec").mapInArrow(scan, _HIT)
         out = hits if out is None else out.unionByName(hits)
@@ -139,6 +151,7 @@ def bm25_topk(requests: DataFrame, chunks: DataFrame, settings: Settings) -> Dat
 
             def scan(batches: Iterator[pa.RecordBatch], ids=ids, ks=ks, sent=sent, k1=k1, b=b, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
                 place, weight = sent.value
+                kept = _Keeper(ids, ks, False)
                 step = max(1, CELLS // max(weight.shape))
                 for batch in batches:
                     for begin in range(0, batch.num_rows, step):
@@ -148,7 +161,8 @@ def bm25_topk(requests: DataFrame, chunks: DataFrame, settings: Settings) -> Dat
                             own = [t for t in _split(text.lower()) if t]
                             for t, n in Counter(t for t in own if t in place).items():
                                 tf[row, place[t]] = n * (k1 + 1) / (n + k1 * (1 - b + b * len(own) / avgdl))
-                        yield _emit(ids, ks, weight @ tf.T, part.column(0).to_numpy(), False)
+                        kept.add(weight @ tf.T, part.column(0).to_numpy())
+                yield kept.batch()
 
             hits = chunks.select("chunk_id", "text").mapInArrow(scan, _HIT)
             out = hits if out is None else out.unionByName(hits)
