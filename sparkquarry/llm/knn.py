@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 K, DIM = 10, 64
 #: The index is fitted on at most so many vectors, drawn by the hash of their id; every vector is indexed.
-SAMPLE = 40_000
+SAMPLE = 60_000
 #: Vectors a list and a cell (the lists of one task) aim at; lists are at most MAX_LISTS.
-LIST_SIZE, CELL_SIZE, MAX_LISTS = 150, 10_000, 16_384
+LIST_SIZE, CELL_SIZE, MAX_LISTS = 150, 10_000, 12_288
 #: Lists probed for a vector, in at most so many cells, as long as their centroid is at most MARGIN less similar than the nearest.
 PROBES, CELLS, MARGIN = 10, 4, 0.15
+#: Similarities to centroids held at once.
+CELLS_HELD = 4_000_000
 #: Columns of the first block; width of the hypothesis test (2.1: one in thousands is lost).
 FIRST_BLOCK, EPSILON = 16, 2.1
 #: Above this share of survivors the rest of the columns is scanned for all.
@@ -38,29 +40,18 @@ class Index:
 
     centroids: np.ndarray  # (lists, dim)
     cell: np.ndarray  # cell of each list, ascending
-    means: np.ndarray  # (cells, dim)
     rotation: np.ndarray
 
     def lists(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The nearest ``probes`` lists of each row of ``x``, nearest first."""
-        n, probes = len(x), min(probes, len(self.centroids))
-        if len(self.centroids) <= 4096:
-            near = x @ self.centroids.T
+        probes = min(probes, len(self.centroids))
+        step = max(1, CELLS_HELD // len(self.centroids))
+        out = np.empty((len(x), probes), np.int64)
+        for i in range(0, len(x), step):
+            near = x[i : i + step] @ self.centroids.T
             top = np.argpartition(-near, probes - 1, 1)[:, :probes]
-            return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), 1, "stable"), 1)
-        # two levels: only lists of the nearest cells are compared
-        wide = min(8, len(self.means))
-        cells = np.argpartition(-(x @ self.means.T), wide - 1, 1)[:, :wide]
-        first = np.searchsorted(self.cell, np.arange(len(self.means) + 1))
-        best, at = np.full((n, probes), -9, np.float32), np.zeros((n, probes), np.int64)
-        for c in range(len(self.means)):
-            rows = np.flatnonzero((cells == c).any(1))
-            if len(rows):
-                s = np.concatenate([best[rows], x[rows] @ self.centroids[first[c] : first[c + 1]].T], 1)
-                i = np.concatenate([at[rows], np.broadcast_to(np.arange(first[c], first[c + 1]), (len(rows), first[c + 1] - first[c]))], 1)
-                top = np.argsort(-s, 1, "stable")[:, :probes]
-                best[rows], at[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-        return at
+            out[i : i + step] = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), 1, "stable"), 1)
+        return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -100,7 +91,7 @@ def fit(sample: np.ndarray, total: int, dim: int = DIM, seed: int = 7) -> Index:
         half = min(max(half, 1), len(part) - 1)
         todo += [part[:half], part[half:]]
     order = np.concatenate(cells)
-    return Index(c[order], np.repeat(np.arange(len(cells)), [len(p) for p in cells]), _unit(np.stack([np.average(c[p], 0, weight[p]) for p in cells])), rotation)
+    return Index(c[order], np.repeat(np.arange(len(cells)), [len(p) for p in cells]), rotation)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -207,7 +198,7 @@ def nearest(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "emb
     drawn = clean.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(SAMPLE).toArrow()
     sample = _matrix(drawn.column("v").combine_chunks(), dim) if drawn.num_rows else np.zeros((0, dim), np.float32)
     fitted = fit(sample, total, dim)
-    cells = len(fitted.means)
+    cells = int(fitted.cell[-1]) + 1
     index = spark.sparkContext.broadcast(fitted)
 
     members = clean.select("h", "g", "id").distinct()
