@@ -24,11 +24,11 @@ from ..runtime import materialize
 LENGTH = 200
 GRAM = 64
 #: Documents that may share one gram before its partition is split by the longer prefix.
-PARTITION_DOCUMENTS = 50_000
+PARTITION_DOCUMENTS = 4_000
 #: Characters of joined texts handled at once by vector operations.
 BLOCK = 1 << 18
 #: Characters of contexts held by a task before whole partitions are worked off.
-HELD = 1 << 24
+HELD = 1 << 21
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
