@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,12 @@ SLICES = 32
 MEETINGS = 4
 #: Partners of a text that are verified together; more are spread over tasks.
 PARTNERS = 2000
-#: Characters of texts worked on at once.
-BLOCK = 1 << 22
+#: Texts for each bucket of prefixes; a task holds the prefixes of one bucket.
+ROWS_PER_BUCKET = 15_000
+#: Characters and texts worked on at once.
+BLOCK, BLOCK_TEXTS = 1 << 22, 8_000
+#: Bits of an n-gram's fingerprint and of its level of frequency; with the number of a text of a block they make one sort key.
+GRAM_BITS, LEVEL_BITS = 44, 6
 #: Words whose fingerprints a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -69,22 +74,19 @@ def gram_sets(texts: list[str | None], words: int, least_words: int) -> tuple[np
     found = [_words(t.lower()) if t else [] for t in texts]
     index = np.array([i for i, w in enumerate(found) if len(w) >= max(least_words, words)], np.int64)
     sizes = np.array([len(found[i]) for i in index], np.int64)
-    flat = np.fromiter((_prints[w] for i in index for w in found[i]), U, int(sizes.sum()))
+    flat = np.fromiter(map(_prints.__getitem__, chain.from_iterable(found[i] for i in index)), U, int(sizes.sum()))
     if not len(flat):
         return index, np.zeros(1, np.int64), flat
     grams = flat[: len(flat) - words + 1] * U(0x9E3779B97F4A7C15)
     for k in range(1, words):
         grams = (grams ^ (grams >> U(29))) * U(0xBF58476D1CE4E5B9) + flat[k : len(flat) - words + 1 + k] * U(0x9E3779B97F4A7C15)
-    grams = _mix(grams)
+    grams = _mix(grams) >> U(64 - GRAM_BITS)
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(index)), sizes)[: len(grams)]
     inside = np.arange(len(grams)) < ends[doc] - words + 1
-    grams, doc = grams[inside], doc[inside]
-    order = np.lexsort((grams, doc))
-    grams, doc = grams[order], doc[order]
-    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])])
-    grams, doc = grams[new], doc[new]
-    return index, np.searchsorted(doc, np.arange(len(index) + 1)), grams
+    keys = np.sort(doc[inside].astype(U) << U(GRAM_BITS) | grams[inside])
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return index, np.searchsorted(keys, np.arange(len(index) + 1, dtype=U) << U(GRAM_BITS)), keys & U((1 << GRAM_BITS) - 1)
 
 
 def _set_names(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -96,8 +98,10 @@ def _set_names(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def _ordered(grams: np.ndarray, begins: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The grams of each set in global order: by level of frequency, then by value."""
-    doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    return grams[np.lexsort((grams, levels[grams >> U(65 - len(levels).bit_length())], doc))]
+    doc = np.repeat(np.arange(len(begins) - 1, dtype=U), np.diff(begins))
+    level = levels[grams >> U(GRAM_BITS + 1 - len(levels).bit_length())].astype(U)
+    keys = np.sort(doc << U(GRAM_BITS + LEVEL_BITS) | level << U(GRAM_BITS) | grams)
+    return keys & U((1 << GRAM_BITS) - 1)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
@@ -106,7 +110,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
     begin, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t or "")
-        if size > BLOCK:
+        if size > BLOCK or k - begin >= BLOCK_TEXTS:
             yield begin, texts[begin : k + 1]
             begin, size = k + 1, 0
     if begin < len(texts):
@@ -195,12 +199,12 @@ class NearDuplicates:
         self.kind = df.schema[id_col].dataType.simpleString()
         # a word and its separator take two characters, so shorter texts can't have enough
         self.docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * max(least_words, words) - 1))
-        self._members = self._levels = self._links = None
+        self._members = self._levels = self._links = self._rows = None
 
     def _first_pass(self) -> None:
         """Names every text's set and counts all n-grams in the sketch."""
         words, least = self.words, self.least
-        rows = self.docs.select("id").count()
+        rows = self._rows = self.docs.select("id").count()
         bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (SKETCH_PER_ROW * rows).bit_length()))
         cells = 1 << bits
 
@@ -209,7 +213,7 @@ class NearDuplicates:
             for batch in batches:
                 for begin, texts in _texts(batch, 1):
                     index, begins, grams = gram_sets(texts, words, least)
-                    counts += np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=cells).astype(np.uint32)
+                    counts += np.bincount((grams >> U(GRAM_BITS - bits)).astype(np.int64), minlength=cells).astype(np.uint32)
                     m = len(index)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index + begin)), pa.array(_set_names(grams, begins)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "set", "slice", "counts"])
             if counts.any():
@@ -245,7 +249,7 @@ class NearDuplicates:
         """(a, b), a < b: sets that meet in their prefixes under the bounds of length and position."""
         self.members()
         words, least, levels, bounds = self.words, self.least, self._levels, _Bounds(self.threshold)
-        buckets = max(8, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        buckets = max(8, -(-self._rows // ROWS_PER_BUCKET))
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -262,7 +266,7 @@ class NearDuplicates:
                     mine[once] = True
                     keep = (pos < bounds.probe(sizes)[doc]) & mine[doc]
                     doc, pos, grams = doc[keep], pos[keep], grams[keep]
-                    bucket = ((grams >> U(32)) % U(buckets)).astype(np.int64)
+                    bucket = ((grams >> U(20)) % U(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
                     doc, pos, short, bucket = doc[order], pos[order], (grams[order] & U(0xFFFFFFFF)).astype(np.uint32), bucket[order]
                     edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -290,7 +294,7 @@ class NearDuplicates:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need, pa.int32()), pa.array(n, pa.int32())], ["a", "b", "need", "n"])
 
         blobs = self.docs.select("text").mapInArrow(post, "bucket int, names binary, sizes binary, grams binary, times binary, places binary")
-        met = blobs.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long, need int, n int")
+        met = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long, need int, n int")
         return met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n")).filter("n >= need").select("a", "b")
 
     def links(self) -> DataFrame:
