@@ -75,6 +75,9 @@ def _pattern(codec: str) -> str:
 
 
 _SEQUENCES = {c: re.compile(_pattern(c)) for c in CODECS}
+#: Characters a sequence of each encoding begins with.
+_BEGINS = {c: frozenset(x for x, b in BYTES[c].items() if b in {0xC2, 0xC3, 0xC4, 0xC5, 0xE2} | ({0xCB, 0xC6, *_OTHER[2], *_OTHER[3], *_OTHER[4]} if c == "western" else set())) for c in CODECS}
+_BEGIN = {c: re.compile("[" + "".join(map(re.escape, sorted(_BEGINS[c]))) + "]") for c in CODECS}
 _ENTITY = re.compile(r"&[A-Za-z]{2,8}\d{0,2};")
 _CYRILLIC = "[Ѐ-џҐґ]"
 _LATIN = "[A-Za-zÀ-ſ]"
@@ -88,10 +91,12 @@ _LOST_WORD = re.compile(rf"(?:{_LETTER}|{LOST})*{LOST}(?:{_LETTER}|{LOST})*")
 _MARKS = (("“", 2.0), ("”", 2.0), ("’", 2.0), ("—", 2.5), ("…", 2.5), ("–", 4.0), ("«", 3.0), ("»", 3.0), ("„", 3.5), ("‘", 4.0), ("¿", 3.0), ("¡", 3.5))
 #: Scan filter, looser than the decision: characters or pairs one of which every damaged text has.
 SUSPECT = (
+    # every alternative begins outside ASCII or with an ampersand, which is tested first
+    "(?=[^\\x00-%'-\\x7f])(?:"
     "�|[Â-ÅâÎ-Ñáð][\u0080-¿ŒœŠšŸŽžƒˆ˜–-•…‰‹›€™ ]"
     "|[─-╿Γ][^\\x00-\\x7f]|ÔÇ|[¬√ƒ≈‚][^\\x00-\\x7f]"
-    "|[A-Za-zÀ-ſ] ?[Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-zÀ-ſ]|[В-Ев][^\\x00-\\x7fа-я]"
-    "|&(A(circ|tilde|uml|ring)|acirc|Icirc|Iuml|ETH|Ntilde);"
+    "|(?<=[A-Za-zÀ-ſ] ?)[Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-zÀ-ſ]|[В-Ев][^\\x00-\\x7fа-я]"
+    "|&(A(circ|tilde|uml|ring)|acirc|Icirc|Iuml|ETH|Ntilde);)"
 )
 
 
@@ -131,13 +136,21 @@ def unescape(text: str) -> str:
 def _sites(text: str) -> list[tuple[int, int, list[str]]]:
     """(begin, end, readings) of the runs that may be misread, without overlaps."""
     found: list[tuple[int, int, str]] = []
+    have = set(text)
     for codec, pattern in _SEQUENCES.items():
-        for m in pattern.finditer(text):
+        if have.isdisjoint(_BEGINS[codec]):
+            continue
+        end = 0
+        for begin in _BEGIN[codec].finditer(text):
+            if begin.start() < end or not (m := pattern.match(text, begin.start())):
+                continue
+            end = m.end()
             if (d := _decode(m.group(), codec)) is not None:
                 found.append((m.start(), m.end(), d))
-    for m in _MIXED.finditer(text):
+    sequences = list(found)  # they explain a run better than single letters do
+    for m in _MIXED.finditer(text) if any("Ѐ" <= c <= "ґ" for c in have) else ():
         table = BYTES["cp1251"]
-        if all(c in table or c.isascii() or c in BYTES["western"] for c in m.group()):
+        if not any(a < m.end() and m.start() < b for a, b, _ in sequences) and all(c in table or c.isascii() or c in BYTES["western"] for c in m.group()):
             found.append((m.start(), m.end(), "".join(bytes([table[c]]).decode("cp1252", "replace") if c in table else c for c in m.group())))
     found.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, list[str]]] = []
@@ -285,6 +298,8 @@ def _fill(text: str, counts: dict[str, int], total: float) -> str:
                         for mark, c in _MARKS:
                             opening, closing = mark in "“«„‘¿¡", mark in "”»…"
                             fits = (not left and bool(right)) if opening else (bool(left) and not right) if closing else bool(left) == bool(right)
+                            if mark == "’" and left and right:  # an elision, or an ending after a name
+                                fits = len(re.split(r"[^\w]", read)[-1]) <= 2 or re.match(r"(?:s|t|d|m|ll|re|ve)\b", run[j:]) is not None
                             if fits:
                                 options.append((c + 6.0, mark))
                 else:
