@@ -298,6 +298,8 @@ def _fill(text: str, counts: dict[str, int], total: float) -> str:
                         for mark, c in _MARKS:
                             opening, closing = mark in "“«„‘¿¡", mark in "”»…"
                             fits = (not left and bool(right)) if opening else (bool(left) and not right) if closing else bool(left) == bool(right)
+                            if mark in "—–" and left and right:
+                                fits = False
                             if mark == "’" and left and right:  # an elision, or an ending after a name
                                 fits = len(re.split(r"[^\w]", read)[-1]) <= 2 or re.match(r"(?:s|t|d|m|ll|re|ve)\b", run[j:]) is not None
                             if fits:
