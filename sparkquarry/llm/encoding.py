@@ -27,8 +27,10 @@ CODECS = ("western", "cp437", "cp850", "mac_roman", "cp1251")
 ROUNDS = 3
 #: Readings of one word kept by the search.
 BEAM = 64
-#: Costs in nats: of a reading of a sequence, of leaving it, of a word the corpus doesn't have.
-DECODED, LEFT, UNKNOWN = 1.0, 4.0, 9.0
+#: Rows decided at once, with the words they ask for.
+ROWS = 500
+#: Costs in nats: of a reading of a sequence, of leaving it, of a word the corpus doesn't have, of a lost character that stays.
+DECODED, LEFT, UNKNOWN, STAYS = 1.0, 4.0, 9.0, 20.0
 
 
 def _bytes_of(codec: str) -> dict[str, int]:
@@ -209,7 +211,9 @@ def masks_of(text: str) -> set[str]:
         for a, b, sites in reversed(tokens):
             for begin, end, decoded in reversed(sites):
                 text = text[:begin] + decoded[0] + text[end:]
-    out.update(m.group() for m in _LOST_WORD.finditer(text))
+    for m in _LOST_WORD.finditer(text):
+        w = m.group()
+        out |= {w, w.strip(LOST), w.lstrip(LOST), w.rstrip(LOST)} - {""}
     return out
 
 
@@ -304,6 +308,7 @@ def _fill(text: str, counts: dict[str, int], total: float) -> str:
                                 fits = len(re.split(r"[^\w]", read)[-1]) <= 2 or re.match(r"(?:s|t|d|m|ll|re|ve)\b", run[j:]) is not None
                             if fits:
                                 options.append((c + 6.0, mark))
+                        options.append((STAYS, LOST))
                 else:
                     options = [(UNKNOWN, part)] if (i, j) == (0, len(run)) or run[i - 1 : i] == LOST or run[j : j + 1] == LOST else []
                 for c, w in options:
@@ -369,13 +374,20 @@ def repair_encoding(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     rows = asked.join(known, "key", "left").select("id", "text", "known")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, texts = [], []
-            for i, (t, known) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                restored, damaged = restore(t, {k["word"]: k["n"] for k in known or ()})
-                if damaged:
-                    keep.append(i), texts.append(restored)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(texts, pa.string())], ["id", "text", "restored"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(begin, ROWS)
+                sizes = batch.column(2).value_lengths().fill_null(0).to_pylist()
+                flat = batch.column(2).flatten()
+                words, counts = flat.field("word"), flat.field("n")
+                keep, texts, at = [], [], 0
+                for i, (t, size) in enumerate(zip(batch.column(1).to_pylist(), sizes)):
+                    known = dict(zip(words.slice(at, size).to_pylist(), counts.slice(at, size).to_pylist()))
+                    at += size
+                    restored, damaged = restore(t, known)
+                    if damaged:
+                        keep.append(i), texts.append(restored)
+                rows = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(texts, pa.string())], ["id", "text", "restored"])
 
     return rows.mapInArrow(decide, f"id {kind}, text string, restored string").select(F.col("id").alias(id_col), F.col("text").alias(text_col), "restored")
