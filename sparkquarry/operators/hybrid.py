@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import matched_terms, strip
+from ..runtime import materialize
 from .requests import normalise
 from .scan import bm25_topk, dense_topk
 
@@ -106,18 +108,50 @@ def rerank(stitched: DataFrame, requests: DataFrame, scorer: Scorer | None) -> D
 
 
 class Retrieval:
-    """The stages of one search over many questions, each a lazy table."""
+    """The stages of one search over many questions; each is planned when it is asked for.
 
-    def __init__(self, requests: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings, scorer: Scorer | None = None):
+    The chunk table is read by several stages and is written once to the shared folder; an
+    index that is stored as a table already can be given as ``stored``.
+    """
+
+    def __init__(self, requests: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings, scorer: Scorer | None = None, stored: bool = False):
         self.requests = normalise(requests, settings)
-        self.chunks, self.settings, self.scorer = chunks, settings, scorer
-        self.dense = dense_topk(self.requests, query_vectors, vectors)
-        self.bm25 = bm25_topk(self.requests, chunks, settings)
-        self.merged = rrf_merge(self.requests, self.dense, self.bm25, chunks, settings)
-        self.filtered = apply_filters(self.merged.join(chunks, "chunk_id"), self.requests)
-        self.grounded = ground(self.filtered, self.requests)
-        top = self.grounded.join(self.requests.select("query_id", "top_k"), "query_id").filter("grounded_rank < top_k").drop("top_k")
-        self.stitched = stitch(top, self.requests.select("query_id", "win"), chunks)
+        self.query_vectors, self.vectors = query_vectors, vectors
+        self.settings, self.scorer = settings, scorer
+        self._given, self._stored = chunks, stored
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return self._given if self._stored else materialize(self._given, "chunks")
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        return dense_topk(self.requests, self.query_vectors, self.vectors)
+
+    @cached_property
+    def bm25(self) -> DataFrame:
+        return bm25_topk(self.requests, self.chunks, self.settings)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return rrf_merge(self.requests, self.dense, self.bm25, self.chunks, self.settings)
+
+    @cached_property
+    def filtered(self) -> DataFrame:
+        return apply_filters(self.merged.join(self.chunks, "chunk_id"), self.requests)
+
+    @cached_property
+    def grounded(self) -> DataFrame:
+        return ground(self.filtered, self.requests)
+
+    @cached_property
+    def top(self) -> DataFrame:
+        return self.grounded.join(self.requests.select("query_id", "top_k"), "query_id").filter("grounded_rank < top_k").drop("top_k")
+
+    @cached_property
+    def stitched(self) -> DataFrame:
+        # the hits are used twice, for their windows and for themselves
+        return stitch(materialize(self.top, "top"), self.requests.select("query_id", "win"), self.chunks)
 
     def search(self) -> DataFrame:
         """(query_id, rank, chunk_id, source, chapter, file_type, text, scores, overlap_terms, stitch_range)."""
@@ -129,6 +163,6 @@ class Retrieval:
             "terms": self.requests.select("query_id", "terms"),
             "dense": self.dense.filter("rank < 5"),
             "bm25": self.bm25.filter("rank < 5"),
-            "grounded": self.grounded.join(self.requests.select("query_id", "top_k"), "query_id").filter("grounded_rank < top_k").drop("top_k"),
+            "grounded": self.top,
             "stitched": self.stitched,
         }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +31,21 @@ def chunks(metadata: DataFrame, id_col: str = "chunk_id", pos_col: str = "pos")
 
 
 def vectors(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
-    """(chunk_id, vec array<double>) of unit length, one row a chunk; null, zero and wrongly long vectors are left out."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = df.select(F.col(id_col).cast("long").alias("chunk_id"), v.alias("v")).filter(F.col("chunk_id").isNotNull() & (F.size("v") > 0))
-    if dim:
-        rows = rows.filter(F.size("v") == dim)
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).filter("norm > 0 AND NOT isnan(norm)")
-    return rows.select("chunk_id", F.expr("transform(v, x -> x / norm)").alias("vec")).dropDuplicates(["chunk_id"])
+    """(chunk_id, vec array<double>) of unit length, one row a chunk.
+
+    Null, zero and wrongly long vectors and those with a null or non-finite number are left out.
+    """
+    v = F.col(vector_col).cast("array<float>")
+    usable = F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = df.select(F.col(id_col).cast("long").alias("chunk_id"), v.alias("v")).filter(F.col("chunk_id").isNotNull() & ((F.size("v") == dim) if dim else (F.size("v") > 0)) & usable)
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            offsets = offsets - offsets[0]
+            if len(flat):
+                flat /= np.repeat(np.sqrt(np.add.reduceat(flat * flat, offsets[:-1])), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["chunk_id", "vec"])
+
+    return rows.dropDuplicates(["chunk_id"]).mapInArrow(unit, "chunk_id long, vec array<double>")
