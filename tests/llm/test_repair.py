@@ -64,7 +64,7 @@ def test_automaton():
 @pytest.mark.parametrize(("text", "want"), [
     (SCAN, (True, True, True)), ("Plain lines that\nare only wrapped at\nthe margin of it.", (False, False, False)), ("Chapter Four\n\nIt began at dawn, they say.", (False, False, False)),
     ("Contents", (False, False, False)), ("hull M1-24 and K0-97, 4310 men, the 47th", (False, False, False)), ("half-buried, rust-red — gone", (False, False, False)), ("ntohing hTe oCunt", (False, False, False)),
-    ("a long line of running text here\nxiv\nand another line of the text", (False, True, False)), ("“Stop!â€ he said", (False, False, False)),
+    ("a long line of running text here\nxiv\nand another line of the text", (False, True, False)), ("“Stop!â€ he said", (False, False, False)), ("the mufﬂed bell", (False, False, True)),
 ])
 def test_detect(text, want):
     assert scans.detect(text, "The_Iron_Gate_00001.pdf", {"tbe": "the"}) == want
