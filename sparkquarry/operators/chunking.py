@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import SPACE, strip
+from ..runtime import materialize
 
 _end = re.compile(r"([.!?])[ \t\n\x0b\f\r]+")
 _space = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -71,7 +72,8 @@ def number(chunks: DataFrame, start: int = 0) -> DataFrame:
     and counted, so no task holds more than one range, and no text moves for the numbering.
     """
     sizes = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    ranged = sizes.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id())
+    # written, so that both uses see the same ranges
+    ranged = materialize(sizes.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("range").agg(F.sum("n").alias("total"), F.min("doc_id").alias("low"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = totals.withColumn("base", before).select("range", "base")  # one row a range
