@@ -95,10 +95,44 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (p1_found, p1_restored, p2_found, p2_restored, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
 
 
+#: White space that str.strip() removes, as a class.
+_BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]+"
+_SPANS = """
+    docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+    starts AS (SELECT doc_id, s, md5(substring(text, s + 1, 200)) AS span FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS s FROM docs)),
+    shared AS (SELECT span FROM starts GROUP BY span HAVING count(DISTINCT doc_id) > 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": r"""
-            SELECT DISTINCT chunk_id FROM metadata
-            WHERE length(regexp_replace(text, '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}\x{0B}]+$', '', 'g')) > 2000
+        "p4_found": f"SELECT DISTINCT chunk_id FROM metadata WHERE length(regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g')) > 2000",
+        "p5_found": r"""
+            WITH texts AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM metadata WHERE text IS NOT NULL),
+            grams AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+                      FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) >= 20)),
+            sizes AS (SELECT chunk_id, count(*) AS n FROM grams GROUP BY 1),
+            both_have AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+            SELECT a AS chunk_id_a, b AS chunk_id_b FROM both_have JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE 10 * c >= 6 * (x.n + y.n - c)
+        """,
+        "p6_found": """
+            WITH v AS (SELECT chunk_id, any_value(e) AS e FROM (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM chunk_vectors WHERE len(embedding) = 64)
+                       WHERE list_inner_product(e, e) > 0 GROUP BY chunk_id),
+            near AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)), 6) AS s
+                     FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+            best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near)
+            SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM best WHERE r <= 10 AND s >= 0.8
+        """,
+        "p9_found": f"""
+            WITH {_SPANS}, members AS (SELECT DISTINCT span, doc_id FROM starts JOIN shared USING (span))
+            SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM members a JOIN members b ON a.span = b.span AND a.doc_id < b.doc_id
+        """,
+        "p9_shared": f"""
+            WITH {_SPANS}, own AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS after, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before
+                                   FROM starts JOIN shared USING (span)),
+            sums AS (SELECT doc_id, sum(least(200, coalesce(after - s, 200)))::BIGINT AS shared_chars, sum(CASE WHEN before IS NULL OR s > before + 200 THEN 1 ELSE 0 END)::BIGINT AS shared_spans
+                     FROM own GROUP BY 1)
+            SELECT doc_id, CAST(coalesce(length(text), 0) AS INT) AS chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(shared_spans, 0) AS shared_spans
+            FROM documents LEFT JOIN sums USING (doc_id)
         """,
     }
