@@ -30,6 +30,9 @@ WORDS, LEAST_WORDS, THRESHOLD = 3, 20, 0.6
 #: texts are counted in it, whatever its size; a coarser order only costs time.
 SKETCH_BITS, SKETCH_PER_ROW = (16, 24), 16
 SLICES = 32
+#: N-grams that occur about so often, by the sketch, are common: pairs of texts are met by them only where their
+#: common n-grams alone could make them alike.
+COMMON = 2_000
 #: N-grams that two texts must share in their prefixes, which are longer by as many; one can be shared by chance.
 MEETINGS = 4
 #: Partners of a text that are verified together; more are spread over tasks.
@@ -249,6 +252,7 @@ class NearDuplicates:
         """(a, b), a < b: sets that meet in their prefixes under the bounds of length and position."""
         self.members()
         words, least, levels, bounds = self.words, self.least, self._levels, _Bounds(self.threshold)
+        common = int(np.ceil(np.log2(COMMON + 1)))
         buckets = max(8, -(-self._rows // ROWS_PER_BUCKET))
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,6 +265,8 @@ class NearDuplicates:
                     grams = _ordered(grams, begins, levels.value)
                     doc = np.repeat(np.arange(len(sizes)), sizes)
                     pos = np.arange(len(grams)) - begins[:-1][doc]
+                    level = levels.value[grams >> U(GRAM_BITS + 1 - len(levels.value).bit_length())]
+                    rare = np.add.reduceat((level < common).astype(np.int64), begins[:-1])
                     _, once = np.unique(names, return_index=True)
                     mine = np.zeros(len(sizes), bool)
                     mine[once] = True
@@ -274,9 +280,9 @@ class NearDuplicates:
                     for b in np.flatnonzero(np.diff(edges)):
                         d = doc[edges[b] : edges[b + 1]]
                         used, times = np.unique(d, return_counts=True)
-                        rows.append((int(b), names[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), short[edges[b] : edges[b + 1]].tobytes(), times.astype(np.uint32).tobytes(), pos[edges[b] : edges[b + 1]].astype(np.uint32).tobytes()))
+                        rows.append((int(b), names[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), rare[used].astype(np.uint32).tobytes(), short[edges[b] : edges[b + 1]].tobytes(), times.astype(np.uint32).tobytes(), pos[edges[b] : edges[b + 1]].astype(np.uint32).tobytes()))
                     cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "names", "sizes", "grams", "times", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "names", "sizes", "rare", "grams", "times", "places"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}
@@ -284,18 +290,20 @@ class NearDuplicates:
                 for b, *parts in zip(*(c.to_pylist() for c in batch.columns)):
                     held.setdefault(b, []).append(parts)
             for parts in held.values():
-                names, sizes, grams, places = [], [], [], []
-                for nm, sz, gr, times, pl in parts:
+                names, sizes, rare, grams, places = [], [], [], [], []
+                for nm, sz, ra, gr, times, pl in parts:
                     t = np.frombuffer(times, np.uint32)
-                    names.append(np.repeat(np.frombuffer(nm, np.int64), t)), sizes.append(np.repeat(np.frombuffer(sz, np.uint32), t))
+                    names.append(np.repeat(np.frombuffer(nm, np.int64), t)), sizes.append(np.repeat(np.frombuffer(sz, np.uint32), t)), rare.append(np.repeat(np.frombuffer(ra, np.uint32), t))
                     grams.append(np.frombuffer(gr, np.uint32)), places.append(np.frombuffer(pl, np.uint32))
                 parts.clear()
-                for a, b, need, n in _meetings(*map(np.concatenate, (names, sizes, grams, places)), bounds):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need, pa.int32()), pa.array(n, pa.int32())], ["a", "b", "need", "n"])
+                for a, b, *numbers in _meetings(*map(np.concatenate, (names, sizes, rare, grams, places)), bounds):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x, pa.int32()) for x in numbers)], ["a", "b", "need", "least", "n", "rest"])
 
-        blobs = self.docs.select("text").mapInArrow(post, "bucket int, names binary, sizes binary, grams binary, times binary, places binary")
-        met = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long, need int, n int")
-        return met.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n")).filter("n >= need").select("a", "b")
+        blobs = self.docs.select("text").mapInArrow(post, "bucket int, names binary, sizes binary, rare binary, grams binary, times binary, places binary")
+        met = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long, need int, least int, n int, rest int")
+        pairs = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.max("least").alias("least"), F.sum("n").alias("n"), F.min("rest").alias("rest"))
+        # all that is shared before the last meeting was met too; behind it lies at most ``rest``
+        return pairs.filter("n >= need AND n + rest >= least").select("a", "b")
 
     def links(self) -> DataFrame:
         """(a, b), a < b: different sets that are alike enough, each pair once."""
@@ -357,14 +365,23 @@ class NearDuplicates:
         return rows.join(names, "root").select(F.col("id").alias(self.id_col), "group_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
-def _meetings(names: np.ndarray, sizes: np.ndarray, grams: np.ndarray, places: np.ndarray, bounds: _Bounds) -> Iterator[tuple]:
-    """(a, b, need, n): pairs of sets that share ``n`` grams of one bucket within the bounds and must share ``need``."""
+def _meetings(names: np.ndarray, sizes: np.ndarray, rare: np.ndarray, grams: np.ndarray, places: np.ndarray, bounds: _Bounds) -> Iterator[tuple]:
+    """(a, b, need, least, n, rest): pairs of sets that share ``n`` grams of one bucket within
+    the bounds. They must share ``need`` of those that are met, and ``least`` in all; behind
+    their last shared gram here lie ``rest`` at most.
+
+    ``rare``: how many grams of a set come before its common ones. A common gram makes two
+    sets meet only if the common grams alone can reach ``least``; for other pairs the common
+    grams of the prefixes are taken off ``need``.
+    """
     order = np.lexsort((names, sizes, grams))
-    names, sizes, grams, places = names[order], sizes[order].astype(np.int64), grams[order], places[order].astype(np.int64)
+    names, grams = names[order], grams[order]
+    sizes, rare, places = (x[order].astype(np.int64) for x in (sizes, rare, places))
     # copies of one set come from several tasks
     new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (names[1:] != names[:-1])])
-    names, sizes, grams, places = names[new], sizes[new], grams[new], places[new]
-    indexed = places < bounds.index(sizes)
+    names, sizes, rare, grams, places = names[new], sizes[new], rare[new], grams[new], places[new]
+    index, probe = np.minimum(bounds.index(sizes), sizes), np.minimum(bounds.probe(sizes), sizes)
+    common = places >= rare
     held: list[tuple] = []
     total, step = 0, 1
     at = np.arange(len(grams))
@@ -372,14 +389,16 @@ def _meetings(names: np.ndarray, sizes: np.ndarray, grams: np.ndarray, places: n
         # partners of a gram lie behind in order of size: what fails by gram or size now fails for every further step
         at = at[at + step < len(grams)]
         j = at + step
-        near = (grams[j] == grams[at]) & (sizes[at] * bounds.q >= bounds.p * sizes[j])
-        at, j = at[near], j[near]
         least = bounds.overlap(sizes[at] + sizes[j])
-        # before this gram at most as many are shared as lie before it, after it as many as remain
-        most = 1 + np.minimum(places[at], places[j]) + np.minimum(sizes[at] - places[at], sizes[j] - places[j]) - 1
-        ok = indexed[at] & (most >= least)
-        x, y = names[at[ok]], names[j[ok]]
-        held.append((np.minimum(x, y), np.maximum(x, y), np.minimum(least[ok], MEETINGS)))
+        near = (grams[j] == grams[at]) & (sizes[at] * bounds.q >= bounds.p * sizes[j]) & (~common[at] | (least <= sizes[at] - rare[at]))
+        at, j, least = at[near], j[near], least[near]
+        rest = np.minimum(sizes[at] - places[at], sizes[j] - places[j]) - 1
+        alone = np.minimum(sizes[at] - rare[at], sizes[j] - rare[j]) >= least  # the common grams suffice
+        ok = (places[at] < index[at]) & (1 + np.minimum(places[at], places[j]) + rest >= least) & (~common[at] | alone)
+        x, y = at[ok], j[ok]
+        unmet = np.where(alone[ok], 0, np.minimum(np.maximum(index[x] - rare[x], 0), np.maximum(probe[y] - rare[y], 0)))
+        need = np.maximum(np.minimum(least[ok], MEETINGS) - unmet, 1)
+        held.append((np.minimum(names[x], names[y]), np.maximum(names[x], names[y]), need, least[ok], rest[ok]))
         total += len(x)
         if total > 2_000_000:
             yield _counted(held)
@@ -390,11 +409,11 @@ def _meetings(names: np.ndarray, sizes: np.ndarray, grams: np.ndarray, places: n
 
 
 def _counted(held: list[tuple]) -> tuple:
-    x, y, need = (np.concatenate(c) for c in zip(*held))
+    x, y, need, least, rest = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((y, x))
-    x, y, need = x[order], y[order], need[order]
+    x, y, need, least, rest = x[order], y[order], need[order], least[order], rest[order]
     first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-    return x[first], y[first], need[first], np.diff(np.concatenate([first, [len(x)]]))
+    return x[first], y[first], need[first], least[first], np.diff(np.concatenate([first, [len(x)]])), np.minimum.reduceat(rest, first)
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -84,6 +84,24 @@ def test_neardup_edges(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def boilerplate(seed, n):
+    random.seed(seed)
+    text = " ".join(f"form{i}" for i in range(random.choice([40, 70])))
+    rows = []
+    for i in range(n):
+        own = " ".join(f"own{random.randint(0, 400)}" for _ in range(random.choice([4, 12, 30, 50])))
+        rows.append((i, text + " " + own if i % 3 else own + " " + own))
+    return rows
+
+
+@pytest.mark.parametrize("common", [0, 3, 20, 2000])
+@pytest.mark.parametrize("seed", [1, 4])
+def test_common_grams(spark, monkeypatch, common, seed):
+    monkeypatch.setattr(neardup, "COMMON", common)  # most n-grams are common, or few, or none
+    for rows in (boilerplate(seed, 90), family(seed, 90)):
+        assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "chunk_id long, text string")).pairs().collect()} == brute(rows)[0]
+
+
 def test_partners_over_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PARTNERS", 3)
     rows = family(5, 80)
