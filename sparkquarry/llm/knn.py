@@ -21,9 +21,9 @@ K, DIM = 10, 64
 #: The index is fitted on at most so many vectors, drawn by the hash of their id; every vector is indexed.
 SAMPLE = 60_000
 #: Vectors a list and a cell (the lists of one task) aim at; lists are at most MAX_LISTS.
-LIST_SIZE, CELL_SIZE, MAX_LISTS = 150, 10_000, 12_288
+LIST_SIZE, CELL_SIZE, MAX_LISTS = 150, 20_000, 12_288
 #: Lists probed for a vector, in at most so many cells, as long as their centroid is at most MARGIN less similar than the nearest.
-PROBES, CELLS, MARGIN = 10, 4, 0.15
+PROBES, CELLS, MARGIN = 12, 4, 0.15
 #: Similarities to centroids held at once.
 CELLS_HELD = 4_000_000
 #: Columns of the first block; width of the hypothesis test (2.1: one in thousands is lost).
