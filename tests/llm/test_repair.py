@@ -87,6 +87,14 @@ def test_scans(spark, monkeypatch):
     assert scans.Scans(df.limit(0)).noisy().count() == 0
 
 
+def test_copies_do_not_lift_a_form_over_its_word(spark):
+    rows = [(i, f"house {i} had the lantern of the harbour", "x", i) for i in range(40)]
+    rows += [(100 + i, f"{i}\nby the lantem they came", "x", i) for i in range(60)]  # copies with other page numbers
+    rows += [(200 + i, "by the lantem they came", "x", i) for i in range(60)]
+    forms = {r["form"]: r["word"] for r in scans.Scans(spark.createDataFrame(rows, META)).forms().collect()}
+    assert forms == {"lantem": "lantern"}
+
+
 SAMPLES = {
     "en": ["The captain of the gate said that nothing was left for the men who had been there when it fell in the winter"] * 20,
     "fr": ["La guerre commença par la chapelle et les soldats ont traversé la rivière sans rien dire à personne depuis ce jour"] * 20,
