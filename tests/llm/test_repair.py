@@ -95,6 +95,22 @@ def test_copies_do_not_lift_a_form_over_its_word(spark):
     assert forms == {"lantem": "lantern"}
 
 
+def test_every_misreading_meets_its_word(spark):
+    def misreadings(word, edits):
+        found, own = set(), {(word, 0)}
+        for _ in range(edits):  # an edit doesn't touch what another has read
+            own = {(w[:i] + seen + w[i + len(true) :], i + len(seen)) for w, at in own for seen, true in scans.CONFUSIONS for i in range(at, len(w)) if w.startswith(true, i)}
+            found |= {w for w, _ in own}
+        return found
+
+    for word in ("lausseth", "mourned", "summum", "edenwood", "women", "hidden", "inn", "which", "undimmed", "deed"):
+        for form in misreadings(word, scans.EDITS):
+            assert scans.form_keys(form) & scans.word_keys(word), (form, word)
+    rows = [(i, f"house {i} mourned and the women lausseth", "x", i) for i in range(130)] + [(200, "they moiirnecl him", "x", 1), (201, "he laiissetb", "x", 1)]
+    forms = {r["form"]: r["word"] for r in scans.Scans(spark.createDataFrame(rows, META)).forms().collect()}
+    assert forms == {"moiirnecl": "mourned", "laiissetb": "lausseth"}
+
+
 SAMPLES = {
     "en": ["The captain of the gate said that nothing was left for the men who had been there when it fell in the winter"] * 20,
     "fr": ["La guerre commença par la chapelle et les soldats ont traversé la rivière sans rien dire à personne depuis ce jour"] * 20,
