@@ -111,6 +111,12 @@ def test_every_misreading_meets_its_word(spark):
     assert forms == {"moiirnecl": "mourned", "laiissetb": "lausseth"}
 
 
+def test_short_forms_of_two_misreadings(spark):
+    rows = [(i, f"house {i} which fell, and ember {i}", "x", i) for i in range(310)] + [(400, "wbicb it was", "x", 1), (401, "cmbcr was left", "x", 1), (402, "cmbcr was right", "x", 1)]
+    forms = {r["form"]: r["word"] for r in scans.Scans(spark.createDataFrame(rows, META)).forms().collect()}
+    assert forms == {"wbicb": "which"}  # 'cmbcr' is too frequent to tell
+
+
 SAMPLES = {
     "en": ["The captain of the gate said that nothing was left for the men who had been there when it fell in the winter"] * 20,
     "fr": ["La guerre commença par la chapelle et les soldats ont traversé la rivière sans rien dire à personne depuis ce jour"] * 20,
