@@ -320,26 +320,30 @@ def _fill(text: str, counts: dict[str, int], total: float) -> str:
 
 
 def _corpus_words(texts: DataFrame) -> DataFrame:
-    """(mask, words: array of (word, n)) of all words outside ASCII, over all texts."""
+    """(mask, word, n) of all words outside ASCII, over all texts; the empty word has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: dict[str, int] = {"": 0}
 
         def out() -> pa.RecordBatch:
             words = list(seen)
             b = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(map(mask, words)), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "mask", "n"])
             seen.clear()
+            seen[""] = 0
             return b
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t.isascii():
-                    continue
-                for part in t.split():
+                parts = t.split()
+                total = len(parts)
+                for part in () if t.isascii() else parts:
                     if not part.isascii():
-                        for w in _WORD.findall(part):
+                        found = _WORD.findall(part)
+                        total += len(found) - 1
+                        for w in found:
                             if not w.isascii():
                                 seen[w] = seen.get(w, 0) + 1
+                seen[""] += total
             if len(seen) > 200_000:
                 yield out()
         yield out()
@@ -353,7 +357,8 @@ def repair_encoding(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     A text is damaged when the search decodes some run of it, or when it holds a
     replacement character; the latter stays where no reading is found. Null, empty and
     intact texts give no row. Rows equal in id and text count once; a null id is kept.
-    Other columns are not read. Frequencies are counted over all texts; only suspect texts
+    Other columns are not read. Frequencies are counted over all texts and weighed against the
+    number of all words, so a table and its multiples are restored alike; only suspect texts
     and the words their lattices ask for are shuffled.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -369,7 +374,9 @@ def repair_encoding(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     asked = suspects.mapInArrow(propose, f"id {kind}, text string, masks array<string>")
     asked = materialize(asked.withColumn("key", F.xxhash64("id", "text")), "suspects")
     wanted = asked.select("key", F.explode("masks").alias("mask"))
-    words = _corpus_words(texts.select("text")).join(wanted, "mask")
+    corpus = materialize(_corpus_words(texts.select("text")), "corpus-words")
+    total = float(corpus.filter("word = ''").agg(F.sum("n")).first()[0] or 1)
+    words = corpus.filter("word <> ''").join(wanted, "mask")
     known = words.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     rows = asked.join(known, "key", "left").select("id", "text", "known")
 
@@ -384,7 +391,7 @@ def repair_encoding(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
                 for i, (t, size) in enumerate(zip(batch.column(1).to_pylist(), sizes)):
                     known = dict(zip(words.slice(at, size).to_pylist(), counts.slice(at, size).to_pylist()))
                     at += size
-                    restored, damaged = restore(t, known)
+                    restored, damaged = restore(t, known, total)
                     if damaged:
                         keep.append(i), texts.append(restored)
                 rows = pa.array(keep, pa.int64())

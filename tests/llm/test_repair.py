@@ -45,6 +45,13 @@ def test_repair_encoding(spark):
     assert encoding.repair_encoding(spark.createDataFrame([], META)).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_restores_alike_at_every_size(spark, times):
+    rows = [(i, f"il monte à la porte {i}", "s", 1) for i in range(30 * times)] + [(-1, "il monte � la porte", "s", 1)]
+    got = {r["chunk_id"]: r["restored"] for r in encoding.repair_encoding(spark.createDataFrame(rows, META)).collect()}
+    assert got == {-1: "il monte à la porte"}
+
+
 SCAN = "The Iron Gate\n12\nThe captain of the iron gate was not conde-\nmned, for the b@stion and tbe silver\n— 13 —\nlantern had prevai1ed."
 
 
