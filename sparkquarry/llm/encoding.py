@@ -91,14 +91,15 @@ _WORD = re.compile(rf"{_LETTER}+")
 _LOST_WORD = re.compile(rf"(?:{_LETTER}|{LOST})*{LOST}(?:{_LETTER}|{LOST})*")
 #: Marks a wildcard may stand for, by what surrounds it; cost in nats.
 _MARKS = (("“", 2.0), ("”", 2.0), ("’", 2.0), ("—", 2.5), ("…", 2.5), ("–", 4.0), ("«", 3.0), ("»", 3.0), ("„", 3.5), ("‘", 4.0), ("¿", 3.0), ("¡", 3.5))
-#: Scan filter, looser than the decision: characters or pairs one of which every damaged text has.
+#: Scan filter, looser than the decision: characters or pairs one of which every damaged text has. The sequences are those the decision knows.
 SUSPECT = (
     # every alternative begins outside ASCII or with an ampersand, which is tested first
     "(?=[^\\x00-%'-\\x7f])(?:"
-    "�|[Â-ÅâÎ-Ñáð][\u0080-¿ŒœŠšŸŽžƒˆ˜–-•…‰‹›€™ ]"
-    "|[─-╿Γ][^\\x00-\\x7f]|ÔÇ|[¬√ƒ≈‚][^\\x00-\\x7f]"
+    "�|[Â-ÅâÎ-Ñáð](?:[\u0080-¿ŒœŠšŸŽžƒˆ˜–-•…‰‹›€™ ]|&[A-Za-z])"
+    "|[─-╿Γ][^\\x00-\\x7f]|[¬√ƒ≈‚][^\\x00-\\x7f]|Г "
     "|(?<=[A-Za-zÀ-ſ] ?)[Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-zÀ-ſ]|[В-Ев][^\\x00-\\x7fа-я]"
-    "|&(A(circ|tilde|uml|ring)|acirc|Icirc|Iuml|ETH|Ntilde);)"
+    "|&([Aa](circ|tilde|uml|ring|acute)|Icirc|Iuml|ETH|eth|Ntilde|fnof);"
+    f"|{'|'.join(map(_pattern, CODECS))})"
 )
 
 

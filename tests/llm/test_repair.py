@@ -52,6 +52,18 @@ def test_restores_alike_at_every_size(spark, times):
     assert got == {-1: "il monte à la porte"}
 
 
+def test_scan_filter_is_looser_than_the_decision(spark):
+    marks = [chr(c) for c in (*range(0xA0, 0x180), *range(0x2000, 0x2400, 7), 0x20AC, 0x2122, 0x2190, 0x2192, 0x2212)]
+    texts = [f"from 5 {misread(c, codec)} on" for c in marks for codec in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251")]
+    texts += ["gehÃ&para;rte", "geh&Atilde;¶rte", "Г ,", "ÃÆ’"]
+    texts = [t for t in texts if encoding._sites(encoding.unescape(t))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert len(texts) > 1000 and [r["text"] for r in df.filter(~df.text.rlike(encoding.SUSPECT)).collect()] == []
+    rows = [(i, f"a toll of 5 {misread(c, 'cp850')} each", "s", 1) for i, c in enumerate("€™→−")]
+    got = {r["chunk_id"]: r["restored"] for r in encoding.repair_encoding(spark.createDataFrame(rows, META)).collect()}
+    assert got == {i: f"a toll of 5 {c} each" for i, c in enumerate("€™→−")}
+
+
 SCAN = "The Iron Gate\n12\nThe captain of the iron gate was not conde-\nmned, for the b@stion and tbe silver\n— 13 —\nlantern had prevai1ed."
 
 
