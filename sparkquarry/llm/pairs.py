@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,6 +182,15 @@ def _name_ends(text: str) -> Iterator[tuple[str, bool]]:
                 yield w[i - 3 : i], i == len(w)
 
 
+def asked_contexts(response: str | None) -> list[str]:
+    """The contexts whose endings a decision about the response may ask for."""
+    text = bare(response)
+    if not text:
+        return []
+    names = re.findall(r"[^\W\d_]+", text)[-1:]
+    return [*dict.fromkeys(_last_contexts(text)), *(f"name|{w.lower()[-3:]}" for w in names if len(w) > 2)]
+
+
 class Endings:
     """How often a text ends in a context, and a name after its last letters."""
 
@@ -295,13 +305,23 @@ def defects(df: DataFrame, labelled: DataFrame, id_col: str = "response_id", que
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ends[c] for c in seen], pa.int64())], ["context", "n", "ends"])
 
     stats = rows.select("response").mapInArrow(count, "context string, n long, ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    # shapes and letter triples: their number is bounded by the alphabet and the words of list items, and rare ones say nothing
-    endings = spark.sparkContext.broadcast(Endings([tuple(r) for r in stats.filter("n >= 3").orderBy(F.desc("n")).limit(200_000).collect()]))
+    # rare contexts say nothing; the others are joined to the responses that end in them, however many there are
+    key = F.xxhash64("id", "query", "response")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = pa.array([asked_contexts(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pc.list_parent_indices(asked)), asked.flatten()], ["key", "context"])
+
+    asked = rows.select(key.alias("key"), "response").mapInArrow(ask, "key long, context string")
+    known = asked.join(stats.filter("n >= 3"), "context").groupBy("key").agg(F.collect_set(F.struct("context", "n", "ends")).alias("known"))
+    joined = rows.withColumn("key", key).join(known, "key", "left").select("id", "query", "response", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [classify(q, r, model.value, endings.value) for q, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            ids, queries, responses, known = batch.columns
+            found = [classify(q, r, model.value, Endings([(x["context"], x["n"], x["ends"]) for x in k or ()])) for q, r, k in zip(queries.to_pylist(), responses.to_pylist(), known.to_pylist())]
             at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([f for f in found if f], pa.string())], ["id", "defect"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), pa.array([f for f in found if f], pa.string())], ["id", "defect"])
 
-    return rows.mapInArrow(run, f"id {kind}, defect string").select(F.col("id").alias(id_col), "defect")
+    return joined.mapInArrow(run, f"id {kind}, defect string").select(F.col("id").alias(id_col), "defect")

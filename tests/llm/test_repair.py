@@ -182,3 +182,15 @@ def test_defects(spark):
     got = sorted((r["response_id"] or -1, r["defect"]) for r in pairs.defects(spark.createDataFrame(rows, schema), labelled).collect())
     assert got == [(-1, "empty"), (50, "empty"), (51, "copied"), (52, "truncated")]
     assert pairs.defects(spark.createDataFrame([], schema), labelled).count() == 0
+
+
+def test_endings_of_every_context_count(spark):
+    def word(k):
+        return "".join(chr(97 + k // 26**j % 26) for j in range(4)) + "o"
+
+    schema = "response_id long, query string, response string"
+    # some 210,000 contexts are more frequent than the ending of the name
+    rows = [(4 * i + d, None, "- " + " ".join(word(1000 * i + k) for k in range(1000)) + ".") for i in range(105) for d in range(4)]
+    rows += [(1000 + i, None, "Those named are:\n- Old Qorvux") for i in range(3)]
+    found = pairs.defects(spark.createDataFrame(rows, schema), spark.createDataFrame([], "lang string, text string")).collect()
+    assert [tuple(r) for r in found] == []
