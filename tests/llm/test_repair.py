@@ -136,6 +136,17 @@ def test_short_forms_of_two_misreadings(spark):
     assert forms == {"wbicb": "which"}  # 'cmbcr' is too frequent to tell
 
 
+def test_a_form_of_two_words_is_read_by_its_neighbours(spark, monkeypatch):
+    rows = [(i, f"house {i} sealed the letter of lord {i}", "x", i) for i in range(100)] + [(300 + i, f"house {i} scaled the wall of hold {i}", "x", i) for i in range(100)]
+    rows += [(200, "they scalecl the letter", "x", 1), (201, "they scalecl the wall", "x", 1), (202, "one house scalecl it", "x", 1)]
+    rows = [(i, t.replace(" the ", " "), s, k) for i, t, s, k in rows]
+    want = {200: "they sealed letter", 201: "they scaled wall", 202: "one house scaled it"}
+    df = spark.createDataFrame(rows, META)
+    assert {r["chunk_id"]: r["restored"] for r in scans.Scans(df).restored().collect()} == want
+    monkeypatch.setattr(scans, "SENT", 0)
+    assert {r["chunk_id"]: r["restored"] for r in scans.Scans(df).restored().collect()} == want
+
+
 SAMPLES = {
     "en": ["The captain of the gate said that nothing was left for the men who had been there when it fell in the winter"] * 20,
     "fr": ["La guerre commença par la chapelle et les soldats ont traversé la rivière sans rien dire à personne depuis ce jour"] * 20,
