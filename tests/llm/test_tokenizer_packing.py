@@ -94,6 +94,34 @@ def test_packing(spark, monkeypatch):
     assert check_packing(sizes, packing.pack(df, open_windows=8).collect(), 1024) <= 1.05 * offline
 
 
+def test_merge_tree_is_bounded(spark, monkeypatch):
+    """Many tasks: only windows left open are merged, at most fan-in x windows in a step, and containers are full."""
+    monkeypatch.setattr(packing, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(packing, "MERGE_FANIN", 8)
+    seen = []
+    inner = packing.materialize
+
+    def watch(df, name):
+        out = inner(df, name)
+        if name == "merged":
+            seen.append([r["n"] for r in out.filter("container_id IS NOT NULL").groupBy("task").count().withColumnRenamed("count", "n").collect()] + [out.filter("container_id IS NOT NULL").count()])
+        return out
+
+    monkeypatch.setattr(packing, "materialize", watch)
+    random.seed(3)
+    sizes = {i: min(1024, int(random.expovariate(1 / 260)) + 1) for i in range(22_000)}
+    rows = packing.pack(spark.createDataFrame(list(sizes.items()), "doc_id long, tokens int"), open_windows=16).collect()
+    made = check_packing(sizes, rows, 1024)
+    assert len(seen) == 2 and seen[0][-1] <= 44 * 16 and seen[1][-1] <= 8 * 16
+    assert sum(sizes.values()) / 1024 >= 0.99 * made
+
+
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    rows = [(2**60 + 1, 5), (None, 7), (2**60 + 3, 6)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, tokens int")).collect()
+    assert {(r["doc_id"], r["tokens"]) for r in got} == set(rows)
+
+
 def test_packing_nulls_and_repeats(spark):
     df = spark.createDataFrame([(1, 5), (1, 5), (2, None), (3, -4), (None, 7)], "doc_id long, tokens int")
     rows = packing.pack(df, capacity=10).collect()
