@@ -1,17 +1,21 @@
 """Long exact spans that occur in more than one document.
 
-Method: prefix-partitioned suffix trees. A span of ``length`` characters is a suffix cut at
-depth ``length``; its partition is named by the least hash of the short prefixes (grams of
-``GRAM`` characters) that begin inside it, which depends on the span's characters alone, so
-equal spans always meet. Grams of a single document name a partition without inner nodes
-and are given up before any text is moved. A partition that would hold too many suffixes is
-split by a longer prefix, the whole span. In a partition the suffixes are ordered by the
-fingerprint of their first ``length`` characters: equal neighbours are the leaves below one
-inner node of at least that depth, and the node is kept once for each set of documents.
+Method: prefix-partitioned suffix trees. Suffixes begin at anchors: in every span of
+``length`` characters the gram of ``GRAM`` characters with the least fingerprint, which
+depends on the span's characters alone, so equal spans have equal anchors. Anchors whose
+gram stands in a single text have no inner node and are given up before any text is moved.
+Variable-length prefixes split the other suffixes into groups that fit into memory: the
+shortest prefix of a ladder that few enough suffixes share. In each group the suffixes are
+sorted, the longest common prefixes of neighbours give the inner nodes of the subtree, and
+the occurrences below a node that also agree to the left as far as the node lacks depth are
+the maximal repeats. A gram too frequent for a group goes on to a prefix of the whole
+length: there a node is a group of equal suffixes, which is formed by a shuffle and not in
+one task. Copies of a text are one text to all of this.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +27,13 @@ from ..runtime import materialize
 
 LENGTH = 200
 GRAM = 64
-#: Documents that may share one gram before its partition is split by the longer prefix.
-PARTITION_DOCUMENTS = 4_000
-#: Characters of joined texts handled at once by vector operations.
+#: Suffixes that may share a prefix before a longer one splits their group.
+GROUP_SUFFIXES = 4_000
+#: Lengths of the prefixes that split the suffixes, as shares of the gram; the last step is the whole length.
+LADDER = (0.25, 0.5, 1.0)
+#: Characters handled at once by vector operations.
 BLOCK = 1 << 18
-#: Characters of contexts held by a task before whole partitions are worked off.
+#: Characters of contexts held by a task before whole groups are worked off.
 HELD = 1 << 21
 
 U = np.uint64
@@ -77,57 +83,101 @@ def partition_names(codes: np.ndarray, length: int, gram: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (n - width)], least[n - width :]) if n > width else least
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(indices, begins, codes) of texts joined to about BLOCK characters."""
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _slices(texts: list[str], overlap: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, int]]:
+    """(indices, begins, codes, place) of texts joined to about BLOCK characters.
+
+    A longer text comes alone, in slices that begin at ``place`` and repeat ``overlap``
+    characters of the one before.
+    """
     held, size = [], 0
     for k, t in enumerate([*texts, None]):
         if held and (t is None or size + len(t) > BLOCK):
             ends = np.cumsum([len(texts[i]) for i in held])
-            yield held, np.concatenate([[0], ends]), _codes("".join(texts[i] for i in held))
+            yield held, np.concatenate([[0], ends]), _codes("".join(texts[i] for i in held)), 0
             held, size = [], 0
-        if t is not None:
+        if t is None:
+            continue
+        if len(t) <= BLOCK:
             held.append(k)
             size += len(t)
+            continue
+        step = max(BLOCK - overlap, 1)
+        for at in range(0, len(t) - overlap, step):
+            piece = _codes(t[at : at + step + overlap])
+            yield [k], np.array([0, len(piece)]), piece, at
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common beginning of the rows of two matrices."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
+
+
+def _padded(strings: list[str], width: int) -> np.ndarray:
+    return _codes("".join(s.ljust(width, "\0") for s in strings)).reshape(len(strings), width)
+
 
+def inner_nodes(shared: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(depth, first, last) of the inner nodes at least ``least`` deep of the suffix tree
+    whose sorted leaves share ``shared[i]`` characters with the leaf before."""
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*shared, 0]):
+        first = i - 1
+        while stack and stack[-1][0] > depth:
+            own, first = stack.pop()
+            yield own, first, i - 1
+        if depth >= least and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
 
-def _groups(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, row, start) of all suffixes that share their first ``length`` characters with
-    a suffix of another document; ``rows`` holds whole partitions."""
-    contexts = rows.column("context").to_pylist()
-    lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    count = lengths - length + 1
-    codes = _codes("".join(contexts)).astype(U)
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    row = np.repeat(np.arange(len(contexts)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    prints = _rolling(codes, length)[begins[row] + start]
-    ids = rows.column("id_hash").to_numpy()
-    order = np.lexsort((ids[row], prints))
-    prints, row, start = prints[order], row[order], start[order]
-    new = np.concatenate([[True], prints[1:] != prints[:-1]])
-    node = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(prints)]]) - 1
-    inner = (ids[row[first]] != ids[row[last]])[node]  # sorted by document within a node
-    node, row, start = node[inner], row[inner], start[inner]
-    # Equal fingerprints of neighbours are confirmed on the characters, once for each pair of contexts and displacement.
-    if len(node):
-        near = np.flatnonzero(node[1:] == node[:-1])
-        key = np.stack([row[near], row[near + 1], start[near] - start[near + 1]], 1)
-        _, once = np.unique(key, axis=0, return_index=True)
-        for k in near[once].tolist():
-            a, b = contexts[row[k]], contexts[row[k + 1]]
-            if a[start[k] : start[k] + length] != b[start[k + 1] : start[k + 1] + length]:
-                raise ArithmeticError("two spans of one fingerprint differ")
-    return node, row, start
-
-
-def _whole_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows as tables that end where a partition ends, of about HELD characters."""
+
+def repeats(sets: list[bytes], contexts: list[str], cuts: list[int], length: int, gram: int) -> Iterator[tuple[list[int], int, int]]:
+    """(leaves, depth, left): the occurrences of the repeats of at least ``length``
+    characters, in several texts, in a forest of suffixes.
+
+    Suffix i begins at ``cuts[i]`` of its context. The leaves below a node share ``depth``
+    characters from there on, and those of one repeat at least ``left`` before.
+    """
+    order = sorted(range(len(sets)), key=[c[k:] for c, k in zip(contexts, cuts)].__getitem__)
+    rights = [contexts[i][cuts[i] : cuts[i] + length] for i in order]
+    sizes = np.fromiter(map(len, rights), np.int64, len(rights))
+    codes = _padded(rights, length)
+    shared = np.minimum(_common(codes[1:], codes[:-1]), np.minimum(sizes[1:], sizes[:-1])) if len(order) > 1 else np.zeros(0, np.int64)
+    for depth, first, last in inner_nodes([0, *shared.tolist()], gram):
+        left = length - depth
+        below: dict[str, list[int]] = {}
+        for i in order[first : last + 1]:
+            if left <= 0:
+                below.setdefault("", []).append(i)
+            elif cuts[i] >= left:
+                below.setdefault(contexts[i][cuts[i] - left : cuts[i]], []).append(i)
+        for leaves in below.values():
+            if len(leaves) > 1 and any(sets[i] != sets[leaves[0]] for i in leaves):
+                yield leaves, depth, max(left, 0)
+
+
+def reach(leaves: list[int], sets: list[bytes], lefts: list[str], width: int) -> list[int]:
+    """For each leaf how many characters before it the leaf of some other text shares."""
+    order = sorted(range(len(leaves)), key=[lefts[i][::-1] for i in leaves].__getitem__)
+    ranked = [leaves[k] for k in order]
+    sizes = np.array([len(lefts[i]) for i in ranked])
+    codes = _padded([lefts[i][::-1] for i in ranked], max(width, 1))
+    shared = np.minimum(_common(codes[1:], codes[:-1]), np.minimum(sizes[1:], sizes[:-1])).tolist()
+    out = [0] * len(leaves)
+    for places in (range(1, len(ranked)), range(len(ranked) - 2, -1, -1)):
+        far = 0
+        for k in places:
+            before, common = (k - 1, shared[k - 1]) if places.step > 0 else (k + 1, shared[k])
+            far = common if sets[ranked[k]] != sets[ranked[before]] else min(far, common)
+            out[order[k]] = max(out[order[k]], far)
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows as tables that end where a group ends, of about HELD characters."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -137,7 +187,7 @@ def _whole_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         size += batch.column("context").nbytes
         if size > HELD:
             rows = pa.Table.from_batches(held)
-            names = rows.column("name").to_numpy()
+            names = rows.column("group").to_numpy()
             cut = int(np.searchsorted(names, names[-1]))
             if cut:
                 yield rows.slice(0, cut)
@@ -152,7 +202,8 @@ class SharedSpans:
 
     Rows of a null id or text, and texts under ``length`` characters, share nothing. Rows
     that repeat an id are one document; exact copies under other ids are documents like any
-    other. Other columns are not read.
+    other. Texts are told apart by their MD5, as are suffixes of the whole length; all other
+    agreement is read from the characters. Other columns are not read.
     """
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None):
@@ -160,132 +211,153 @@ class SharedSpans:
             raise ValueError("length must be at least 2")
         self.length, self.id_col = length, id_col
         self.gram = gram or max(1, min(GRAM, length // 2))
-        self.kind = df.schema[id_col].dataType.simpleString()
-        self.docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= length))
-        self._suffixes = None
+        docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= length))
+        self.docs = docs.withColumn("set", F.unhex(F.md5("text")))
+        self._members = self._suffixes = None
+
+    def members(self) -> DataFrame:
+        """(id, set, chars): the text of every document that is long enough."""
+        if self._members is None:
+            self._members = materialize(self.docs.select("id", "set", F.length("text").alias("chars")).distinct(), "texts")
+        return self._members
 
     def _names(self) -> DataFrame:
+        """(set, name): the anchors' grams of every text."""
         length, gram = self.length, self.gram
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for held, begins, codes in _blocks(batch.column(1).to_pylist()):
+                for held, begins, codes, _ in _slices(batch.column(1).to_pylist(), length - 1):
                     names = partition_names(codes, length, gram)
                     new = np.concatenate([[True], names[1:] != names[:-1]])
                     new[begins[:-1]] = True
-                    for a, b in zip(begins[1:-1], begins[2:]):
+                    for a in begins[1:-1]:
                         new[max(0, a - length + 1) : a] = False  # spans that run over the end of a text
                     at = np.flatnonzero(new)
                     doc = np.array(held)[np.searchsorted(begins, at, "right") - 1]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), _signed(names[at])], ["id", "name"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), _signed(names[at])], ["set", "name"])
 
-        return self.docs.mapInArrow(run, f"id {self.kind}, name long")
+        return self.docs.select("set", "text").mapInArrow(run, "set binary, name long")
 
     def suffixes(self) -> DataFrame:
-        """(name, id, id_hash, start, context): runs of suffixes in partitions of several documents.
+        """(set, at, cut, context, group): suffixes of several texts by the group of their prefix.
 
-        Where ``context`` is null the partition was split: ``name`` is the fingerprint of
-        the one span at ``start``.
+        A suffix begins at character ``at`` of its text and at ``cut`` of its context;
+        ``group`` is null where the gram is too frequent and the whole length splits it.
         """
         if self._suffixes is not None:
             return self._suffixes
         length, gram = self.length, self.gram
         names = materialize(self._names(), "names")
-        shared = names.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b")
-        shared = shared.select("name", (F.col("n") > PARTITION_DOCUMENTS).alias("large"))
-        wanted = names.join(shared, "name").groupBy("id").agg(F.collect_set(F.when(~F.col("large"), F.col("name"))).alias("small"), F.collect_set(F.when(F.col("large"), F.col("name"))).alias("large"))
-        texts = self.docs.join(wanted, "id").select("id", F.xxhash64("id").alias("id_hash"), "text", "small", "large")
+        shared = names.groupBy("name").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a < b").select("name")
+        wanted = names.join(shared, "name").groupBy("set").agg(F.collect_set("name").alias("names"))
+        # the text is read from one of its documents
+        one = self.members().groupBy("set").agg(F.min("id").alias("id"))
+        texts = self.docs.select("id", "text").join(wanted.join(one, "set"), "id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, small, large = (batch.column(k).to_pylist() for k in (2, 3, 4))
-                doc, name, start, context = [], [], [], []
-                for held, begins, codes in _blocks(texts):
-                    names = partition_names(codes, length, gram).view(np.int64)
+                texts = batch.column(1).to_pylist()
+                wanted = [np.array(n, np.int64) for n in batch.column(2).to_pylist()]
+                for held, begins, codes, place in _slices(texts, gram - 1):
+                    prints = _rolling(codes.astype(U), gram).view(np.int64)
+                    doc, at, cut, context = [], [], [], []
                     for k, i in enumerate(held):
-                        own = names[begins[k] : begins[k + 1] - length + 1]
-                        if small[i]:
-                            hit = np.isin(own, np.array(small[i], np.int64))
-                            edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (hit[1:] != hit[:-1]), [True]]))
-                            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                                if hit[a]:
-                                    doc.append(i), name.append(int(own[a])), start.append(a), context.append(texts[i][a : b + length - 1])
-                        if large[i]:
-                            hit = np.flatnonzero(np.isin(own, np.array(large[i], np.int64)))
-                            prints = _rolling(codes[begins[k] : begins[k + 1]].astype(U), length).view(np.int64)[hit]
-                            doc += [i] * len(hit)
-                            name += prints.tolist()
-                            start += hit.tolist()
-                            context += [None] * len(hit)
-                at = pa.array(doc, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(context, pa.string())], ["name", "id", "id_hash", "start", "context"])
-
-        self._suffixes = materialize(texts.mapInArrow(run, f"name long, id {self.kind}, id_hash long, start long, context string"), "suffixes")
+                        own = prints[begins[k] : max(begins[k], begins[k + 1] - gram + 1)]
+                        for p in (np.flatnonzero(np.isin(own, wanted[i])) + place).tolist():
+                            begin = max(0, p - length + gram)
+                            doc.append(i), at.append(p), cut.append(p - begin), context.append(texts[i][begin : p + length])
+                    rows = batch.column(0).take(pa.array(doc, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([rows, pa.array(at, pa.int64()), pa.array(cut, pa.int32()), pa.array(context, pa.string())], ["set", "at", "cut", "context"])
+
+        found = texts.select("set", "text", "names").mapInArrow(run, "set binary, at long, cut int, context string")
+        steps = sorted({max(1, int(share * gram)) for share in LADDER})
+        for n in steps:
+            found = found.withColumn(f"p{n}", F.xxhash64(F.lit(n), F.substring("context", F.col("cut") + 1, F.lit(n))))
+        found = materialize(found, "suffixes")
+        keys = [f"p{n}" for n in steps]
+        tree = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))  # what shares a prefix shares the shorter ones
+        for key in keys:
+            tree = tree.join(tree.groupBy(key).agg((F.sum("n") <= GROUP_SUFFIXES).alias(f"fits_{key}")), key)
+        group = F.coalesce(*(F.when(F.col(f"fits_{k}"), F.col(k)) for k in keys))
+        self._suffixes = found.join(tree.select(*keys, group.alias("group")), keys).select("set", "at", "cut", "context", "group")
         return self._suffixes
 
-    def _split(self) -> DataFrame:
-        """(name, id, id_hash, start) of split partitions that hold several documents."""
-        rows = self.suffixes().filter(F.col("context").isNull()).drop("context")
-        nodes = rows.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("name")
-        return rows.join(nodes, "name", "left_semi")
-
-    def members(self) -> DataFrame:
-        """(node, id): every set of documents below a deep inner node, once."""
-        length, kind = self.length, self.kind
+    def _trees(self, schema: str, run) -> DataFrame:
+        """``run`` over the suffixes of whole groups; a table whose suffixes are all distinct gives no group a task can't hold."""
+        rows = self.suffixes().filter(F.col("group").isNotNull()).repartition("group").sortWithinPartitions("group")
+        return rows.mapInArrow(lambda batches: (out for rows in _whole_groups(batches) for out in run(rows)), schema)
+
+    def _whole(self) -> DataFrame:
+        """(node, set, begin): suffixes of frequent grams that share the whole length with another text's."""
+        length = self.length
+        rows = self.suffixes().filter(F.col("group").isNull() & (F.length("context") >= length))
+        rows = rows.select("set", (F.col("at") - F.col("cut")).alias("first"), "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("k"))
+        rows = rows.select(F.unhex(F.md5(F.substring("context", F.col("k") + 1, F.lit(length)))).alias("node"), "set", (F.col("first") + F.col("k")).alias("begin"))
+        nodes = rows.groupBy("node").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a < b").select("node")
+        return rows.join(nodes, "node", "left_semi")
+
+    def nodes(self) -> DataFrame:
+        """(node, set): the texts below a deep inner node, once for each collection of texts."""
+        length, gram = self.length, self.gram
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _whole_partitions(batches):
-                node, row, _ = _groups(rows, length)
-                ids = rows.column("id_hash").to_numpy()
-                if not len(node):
-                    continue
-                new = np.concatenate([[True], (node[1:] != node[:-1]) | (ids[row[1:]] != ids[row[:-1]])])
-                node, row = node[new], row[new]
-                begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                mark = np.add.reduceat(_mix(ids[row].astype(np.int64).view(U)), begins)
-                _, once = np.unique(mark, return_index=True)
-                ends = np.concatenate([begins[1:], [len(node)]])
-                take = np.concatenate([np.arange(begins[k], ends[k]) for k in once])
-                marks = np.repeat(mark[once], ends[once] - begins[once])
-                yield pa.RecordBatch.from_arrays([_signed(marks), rows.column("id").combine_chunks().take(pa.array(row[take]))], ["node", "id"])
-
-        whole = self.suffixes().filter(F.col("context").isNotNull()).repartition("name").sortWithinPartitions("name")
-        found = whole.mapInArrow(run, f"node long, id {kind}")
-        split = self._split().select("name", "id", "id_hash").distinct()
-        sets = split.groupBy("name").agg(F.sum(F.xxhash64("id_hash").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
-        sets = sets.groupBy(F.xxhash64("s", "n").alias("node")).agg(F.min("name").alias("name"))
-        return found.unionByName(split.join(sets, "name").select("node", "id")).distinct()
+        def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            sets = rows.column("set").to_pylist()
+            node, text, seen = [], [], set()
+            for leaves, _, _ in repeats(sets, rows.column("context").to_pylist(), rows.column("cut").to_pylist(), length, gram):
+                own = sorted({sets[i] for i in leaves})
+                name = hashlib.md5(b"".join(own)).digest()
+                if name not in seen:
+                    seen.add(name)
+                    node += [name] * len(own)
+                    text += own
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(text, pa.binary())], ["node", "set"])
+
+        whole = self._whole().select("node", "set").distinct()
+        same = whole.groupBy("node").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "set").cast("decimal(38,0)")).alias("t"), F.count(F.lit(1)).alias("n"))
+        once = same.groupBy("s", "t", "n").agg(F.min("node").alias("node")).select("node")
+        return self._trees("node binary, set binary", run).unionByName(whole.join(once, "node", "left_semi")).distinct()
 
     def pairs(self) -> DataFrame:
-        """(id_a, id_b), a < b: documents that share a span."""
-        members = materialize(self.members(), "members")
-        a, b = members.select("node", F.col("id").alias(f"{self.id_col}_a")), members.select("node", F.col("id").alias(f"{self.id_col}_b"))
-        return a.join(b, "node").filter(F.col(f"{self.id_col}_a") < F.col(f"{self.id_col}_b")).drop("node").distinct()
+        """(id_a, id_b), a < b: documents that share a span, copies included."""
+        nodes = materialize(self.nodes(), "nodes")
+        a, b = f"{self.id_col}_a", f"{self.id_col}_b"
+        links = nodes.select("node", F.col("set").alias("x")).join(nodes.select("node", F.col("set").alias("y")), "node").filter("x < y").select("x", "y").distinct()
+        left, right = self.members().select(F.col("set").alias("x"), F.col("id").alias("i")), self.members().select(F.col("set").alias("y"), F.col("id").alias("j"))
+        far = links.join(left, "x").join(right, "y").filter("i <> j").select(F.least("i", "j").alias(a), F.greatest("i", "j").alias(b))
+        near = left.join(right, F.col("x") == F.col("y")).filter("i < j").select(F.col("i").alias(a), F.col("j").alias(b))
+        return far.unionByName(near)
 
     def coverage(self) -> DataFrame:
         """(id, shared_chars, shared_spans): characters of a document that lie in shared spans,
         and the number of maximal runs they form; documents that share none have no row."""
-        length, kind = self.length, self.kind
+        length, gram = self.length, self.gram
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _whole_partitions(batches):
-                node, row, start = _groups(rows, length)
-                if not len(node):
-                    continue
-                at = rows.column("start").to_numpy()[row] + start
-                order = np.lexsort((at, row))
-                row, at = row[order], at[order]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)]))
-                end = at[np.concatenate([new[1:], [len(at)]]) - 1] + length
-                yield pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(row[new])), pa.array(at[new]), pa.array(end)], ["id", "begin", "end"])
-
-        whole = self.suffixes().filter(F.col("context").isNotNull()).repartition("name").sortWithinPartitions("name")
-        spans = whole.mapInArrow(run, f"id {kind}, begin long, end long")
-        spans = spans.unionByName(self._split().select("id", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
-        w = Window.partitionBy("id").orderBy("begin", "end")
+        def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            sets, contexts, cuts, at = (rows.column(c).to_pylist() for c in ("set", "context", "cut", "at"))
+            lefts = [c[:k] for c, k in zip(contexts, cuts)]
+            found: set[tuple] = set()
+            for leaves, depth, _ in repeats(sets, contexts, cuts, length, gram):
+                for i, before in zip(leaves, reach(leaves, sets, lefts, length - gram)):
+                    if before + depth >= length:
+                        found.add((sets[i], at[i] - before, at[i] + depth))
+            cols = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()))], ["set", "begin", "end"])
+
+        spans = self._trees("set binary, begin long, end long", run)
+        spans = spans.unionByName(self._whole().select("set", "begin", (F.col("begin") + length).alias("end"))).distinct()
+        w = Window.partitionBy("set").orderBy("begin", "end")
         before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
         runs = spans.withColumn("before", before)
-        return runs.groupBy(F.col("id").alias(self.id_col)).agg(
-            F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("begin", F.coalesce("before", "begin")))).alias("shared_chars"),
-            F.sum(F.when(F.col("before").isNull() | (F.col("before") < F.col("begin")), 1).otherwise(0)).alias("shared_spans"),
+        own = runs.groupBy("set").agg(
+            F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("begin", F.coalesce("before", "begin")))).alias("chars_shared"),
+            F.sum(F.when(F.col("before").isNull() | (F.col("before") < F.col("begin")), 1).otherwise(0)).alias("runs"),
+        )
+        copies = self.members().groupBy("set").agg(F.count(F.lit(1)).alias("copies"))
+        rows = self.members().join(copies, "set").join(own, "set", "left").filter("copies > 1 OR runs > 0")
+        whole = F.col("copies") > 1  # a copied text is shared from end to end
+        return rows.select(
+            F.col("id").alias(self.id_col),
+            F.when(whole, F.col("chars").cast("long")).otherwise(F.col("chars_shared")).alias("shared_chars"),
+            F.when(whole, F.lit(1).cast("long")).otherwise(F.col("runs")).alias("shared_spans"),
         )

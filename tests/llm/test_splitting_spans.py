@@ -78,10 +78,12 @@ def random_docs(seed, n, alphabet="abc", size=60):
     return [(i, "".join(random.choices(parts, k=random.randint(0, 4))) + random.choice(["", "x" * 50, "y" * random.randint(0, 40)])) for i in range(n)]
 
 
-@pytest.mark.parametrize(("seed", "limit"), [(1, 4000), (2, 2), (3, 0)])
+@pytest.mark.parametrize(("seed", "limit"), [(1, 4000), (2, 2), (3, 0), (4, 9), (5, 4000)])
 def test_spans_equal_brute_force(spark, monkeypatch, seed, limit):
-    monkeypatch.setattr(spans, "PARTITION_DOCUMENTS", limit)  # 0 and 2: partitions are split by the longer prefix
+    monkeypatch.setattr(spans, "GROUP_SUFFIXES", limit)  # 0 and 2: groups are split by the longer prefixes, and by the whole length
+    monkeypatch.setattr(spans, "BLOCK", 64)  # most texts come in slices
     docs = random_docs(seed, 40)
+    docs += [(100 + i, t) for i, t in docs[:4]]  # copies
     df = spark.createDataFrame(docs, "doc_id long, text string")
     shared = SharedSpans(df, length=20, gram=6)
     pairs, covered = brute(docs, 20)
