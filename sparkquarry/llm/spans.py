@@ -214,6 +214,7 @@ class SharedSpans:
         docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= length))
         self.docs = docs.withColumn("set", F.unhex(F.md5("text")))
         self._members = self._suffixes = None
+        self._frequent = False  # whether some gram is too frequent for a group
 
     def members(self) -> DataFrame:
         """(id, set, chars): the text of every document that is long enough."""
@@ -280,11 +281,13 @@ class SharedSpans:
         for key in keys:
             tree = tree.join(tree.groupBy(key).agg((F.sum("n") <= GROUP_SUFFIXES).alias(f"fits_{key}")), key)
         group = F.coalesce(*(F.when(F.col(f"fits_{k}"), F.col(k)) for k in keys))
-        self._suffixes = found.join(tree.select(*keys, group.alias("group")), keys).select("set", "at", "cut", "context", "group")
+        tree = materialize(tree.select(*keys, group.alias("group")), "prefixes")
+        self._frequent = not tree.filter(F.col("group").isNull()).isEmpty()
+        self._suffixes = found.join(tree, keys).select("set", "at", "cut", "context", "group")
         return self._suffixes
 
     def _trees(self, schema: str, run) -> DataFrame:
-        """``run`` over the suffixes of whole groups; a table whose suffixes are all distinct gives no group a task can't hold."""
+        """``run`` over the suffixes of whole groups, each of which a task can hold."""
         rows = self.suffixes().filter(F.col("group").isNotNull()).repartition("group").sortWithinPartitions("group")
         return rows.mapInArrow(lambda batches: (out for rows in _whole_groups(batches) for out in run(rows)), schema)
 
@@ -313,10 +316,13 @@ class SharedSpans:
                     text += own
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(text, pa.binary())], ["node", "set"])
 
+        trees = self._trees("node binary, set binary", run)
+        if not self._frequent:
+            return trees.distinct()
         whole = self._whole().select("node", "set").distinct()
         same = whole.groupBy("node").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "set").cast("decimal(38,0)")).alias("t"), F.count(F.lit(1)).alias("n"))
         once = same.groupBy("s", "t", "n").agg(F.min("node").alias("node")).select("node")
-        return self._trees("node binary, set binary", run).unionByName(whole.join(once, "node", "left_semi")).distinct()
+        return trees.unionByName(whole.join(once, "node", "left_semi")).distinct()
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), a < b: documents that share a span, copies included."""
@@ -345,7 +351,9 @@ class SharedSpans:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()))], ["set", "begin", "end"])
 
         spans = self._trees("set binary, begin long, end long", run)
-        spans = spans.unionByName(self._whole().select("set", "begin", (F.col("begin") + length).alias("end"))).distinct()
+        if self._frequent:
+            spans = spans.unionByName(self._whole().select("set", "begin", (F.col("begin") + length).alias("end")))
+        spans = spans.distinct()
         w = Window.partitionBy("set").orderBy("begin", "end")
         before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
         runs = spans.withColumn("before", before)
