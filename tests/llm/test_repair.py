@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sparkquarry.llm import encoding, pairs, scans
@@ -70,16 +72,71 @@ SCAN = "The Iron Gate\n12\nThe captain of the iron gate was not conde-\nmned, fo
 def vocabulary():
     v = scans.Vocabulary()
     for w, n in (("the", 900), ("lantern", 60), ("barricade", 80), ("harbour", 70), ("turn", 40), ("silenced", 70)):
-        v.add(w, n)
+        v.add(w, (n, n))
     return v
 
 
 def test_automaton():
-    found = lambda w: {x for x, _, _ in vocabulary().readings(w)}
+    found = lambda w: {x for x, _, _ in vocabulary().readings(w, (1, 1))}
     assert found("tbe") == {"the"} and found("lantem") == {"lantern"} and found("barricacle") == {"barricade"}
     assert found("silcncecl") == {"silenced"} and found("lantern") == set() and found("lnatern") == set()
 
 
+def weighted_distance(form, word):
+    """Least edits by dynamic programming over pairs of beginnings: 1 or 2 confusions, or one edit of any kind."""
+    best = {(0, 0): {0}}
+    for i in range(len(form) + 1):
+        for j in range(len(word) + 1):
+            for e in best.get((i, j), ()):
+                steps = [(1, 1, 0)] if i < len(form) and j < len(word) and form[i] == word[j] else []
+                if e < scans.EDITS:
+                    steps += [(len(a), len(b), 1) for a, b in scans.CONFUSIONS if form.startswith(a, i) and word.startswith(b, j)]
+                if e == 0:
+                    steps += [(1, 0, scans.ARBITRARY), (0, 1, scans.ARBITRARY), (1, 1, scans.ARBITRARY)]
+                for a, b, cost in steps:
+                    if i + a <= len(form) and j + b <= len(word):
+                        best.setdefault((i + a, j + b), set()).add(e + cost)
+    return min((e for e in best.get((len(form), len(word)), ()) if e), default=None)
+
+
+def test_retrieval_equals_brute_force(monkeypatch):
+    random.seed(6)
+    words = {"".join(random.choice("cebhdlrnimuaw") for _ in range(random.randint(3, 7))) for _ in range(250)} | {"modern", "mountain", "castle"}
+    forms = {"rnodem", "rnountam", "castlo", "caste", "moclem"} | {w[:i] + random.choice("cebhdlrnimuaw") + w[i + random.randint(0, 2) :] for w in list(words)[:120] for i in (0, 2, len(w) - 1)}
+    v = scans.Vocabulary()
+    for w in words:
+        v.add(w, (10**9, 10**9))
+    for f in forms:
+        found = {}
+        for w, _, e in v.readings(f, (1, 1)):
+            found[w] = min(e, found.get(w, 9))
+        want = {w: d for w in words if (d := weighted_distance(f, w)) and (w != f or d <= scans.EDITS)}
+        assert {w: e for w, e in found.items() if w != f} == {w: d for w, d in want.items() if w != f}, f
+        for w, e in found.items():
+            keys = scans.form_keys(f) & scans.word_keys(w)
+            assert keys or (e == scans.ARBITRARY and f"E{scans._begin(len(f))}{f[-scans._begin(len(f)):]}" in scans.end_keys(w)), (f, w)
+
+
+def test_arbitrary_edits_are_put_right_in_noisy_texts_only(spark):
+    rows = [(i, f"house {i} held the castle of stone {i}", "x", i) for i in range(1000, 5100)] + [(100, "they left the castlo", "x", 1), (101, "they left the castlo by ni-\nght", "x", 1)]
+    df = spark.createDataFrame(rows, META)
+    assert {r["chunk_id"]: r["restored"] for r in scans.Scans(df).restored().collect()} == {101: "they left the castle by night"}
+    assert [r["chunk_id"] for r in scans.Scans(df).noisy().collect()] == [101]
+
+
+def test_headers_of_unknown_titles(spark, monkeypatch):
+    page = "house {0} had gone and the men of the old\nThe Silent Wall\nharbour {0} were left with nothing at all"
+    rows = [(i, page.format(i), "file_a.txt", i) for i in range(4)] + [(10, page.format(10), "file_b.txt", 1)] + [(20 + i, page.format(20), "file_c.txt", 1) for i in range(5)]
+    rows += [(50, "the barricacle", "x", 1), (30, "the b@rricacle of house\nThe Silent Wall\nwas sil-\n12\nenced", "file_a.txt", 1)] + [(40 + i, f"a barricade {i} was silenced", "x", 1) for i in range(9)]
+    df = spark.createDataFrame(rows, META)
+    want = {(0, False, True, False), (1, False, True, False), (2, False, True, False), (3, False, True, False), (30, True, True, True), (50, False, False, True)}
+    assert {tuple(r) for r in scans.Scans(df).noisy().collect()} == want
+    texts = {r["chunk_id"]: r["restored"] for r in scans.Scans(df).restored().collect()}
+    assert texts[0] == page.format(0).replace("\nThe Silent Wall\n", " ") and texts[30] == "the barricade of house was silenced"
+    monkeypatch.setattr(scans, "SENT", 0)  # the join gives the same texts
+    assert {r["chunk_id"]: r["restored"] for r in scans.Scans(df).restored().collect()} == texts
+
+
 @pytest.mark.parametrize(("text", "want"), [
     (SCAN, (True, True, True)), ("Plain lines that\nare only wrapped at\nthe margin of it.", (False, False, False)), ("Chapter Four\n\nIt began at dawn, they say.", (False, False, False)),
     ("Contents", (False, False, False)), ("hull M1-24 and K0-97, 4310 men, the 47th", (False, False, False)), ("half-buried, rust-red — gone", (False, False, False)), ("ntohing hTe oCunt", (False, False, False)),
