@@ -1,10 +1,12 @@
 """Texts read with the wrong character encoding: finding and restoring them.
 
-Method: noisy-channel decoding. Every damaged word becomes a lattice: a run of characters
-may stand as it is or for the bytes that one of several encodings gives for it, and a
-replacement character is a wildcard for a lost letter or mark. A Viterbi search over the
-lattice weighs the readings by what the channel does and by how often their words occur in
-the corpus.
+Method: noisy-channel decoding. Every damaged word becomes a lattice of edges over its
+characters: a character as it stands, a run of characters as the bytes that one of several
+encodings gives for it, one character as the byte of a one-byte encoding, and a wildcard
+where bytes were lost (one to three marks for one letter, or a lead byte with a lost
+continuation). Edges of all encodings compete, wherever they begin and end. A Viterbi search
+over lattice and words at once weighs what the channel does against how often the words
+occur in the corpus; all words of the corpus that some path can spell take part.
 """
 
 from __future__ import annotations
@@ -25,12 +27,22 @@ LOST = "�"
 CODECS = ("western", "cp437", "cp850", "mac_roman", "cp1251")
 #: Rounds of wrong reading undone, one after another.
 ROUNDS = 3
-#: Readings of one word kept by the search.
-BEAM = 64
 #: Rows decided at once, with the words they ask for.
 ROWS = 500
-#: Costs in nats: of a reading of a sequence, of leaving it, of a word the corpus doesn't have, of a lost character that stays.
-DECODED, LEFT, UNKNOWN, STAYS = 1.0, 4.0, 9.0, 20.0
+#: Costs in nats: of a reading of a sequence, of leaving it, of leaving what can't stand, of a word the corpus doesn't have, of a lost character that stays.
+DECODED, LEFT, BROKEN, UNKNOWN, STAYS = 1.0, 4.0, 40.0, 9.0, 20.0
+#: Costs of one character as another one-byte encoding has it, and of an encoding that is seldom met.
+ONE_BYTE, SELDOM = 2.5, 3.0
+#: Cost of a sequence in another encoding than Western, where both explain a run.
+RARER = 0.5
+#: Cost of a mark lost, besides its own; a piece of a word beside it costs UNKNOWN.
+MARK = 8.0
+#: Costs of a letter lost as one, two or three marks.
+LOST_AS = (0.5, 1.0, 3.0)
+#: Alternations of plain and damaged stretches in one word.
+STRETCHES = 24
+#: Encodings a Western byte may have been read in as a Cyrillic letter, and as some Western letter or sign.
+CYRILLIC, WESTERN = ("cp1251", "koi8-r", "iso8859-5", "cp866"), ("mac_roman", "cp437", "cp850")
 
 
 def _bytes_of(codec: str) -> dict[str, int]:
@@ -47,7 +59,7 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
-BYTES = {c: _bytes_of(c) for c in CODECS}
+BYTES = {c: _bytes_of(c) for c in (*CODECS, "koi8-r", "iso8859-5", "cp866")}
 _LETTER = r"[^\W\d_]"
 #: Bytes that lead the sequences of Latin letters and of typographic marks.
 _LEADS = {2: (0xC2, 0xC3, 0xC4, 0xC5), 3: (0xE2,)}
@@ -91,6 +103,12 @@ _WORD = re.compile(rf"{_LETTER}+")
 _LOST_WORD = re.compile(rf"(?:{_LETTER}|{LOST})*{LOST}(?:{_LETTER}|{LOST})*")
 #: Marks a wildcard may stand for, by what surrounds it; cost in nats.
 _MARKS = (("“", 2.0), ("”", 2.0), ("’", 2.0), ("—", 2.5), ("…", 2.5), ("–", 4.0), ("«", 3.0), ("»", 3.0), ("„", 3.5), ("‘", 4.0), ("¿", 3.0), ("¡", 3.5))
+#: What French drops before an apostrophe, and what English adds after one.
+_ELIDED = re.compile(r"(?:^|[\W\d_])(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu)$", re.I)
+_ADDED = re.compile(r"(?:s|t|d|m|ll|re|ve)(?![^\W\d_])")
+#: A letter or sign where no Western text has it: a large accented letter or a sign after a small letter.
+_ODD = r"(?<=[a-zß-ÿ])[À-ÖØ-Þ÷▀∩ˆ´ﬁﬂ˜¯](?=[a-zß-ÿﬁﬂ▀∩ˆ])|(?<=[a-zß-ÿ])[ÈÉÊËÚÌÍÎÏ](?![\w])"
+_ODD_WORD = re.compile(_ODD)
 #: Scan filter, looser than the decision: characters or pairs one of which every damaged text has. The sequences are those the decision knows.
 SUSPECT = (
     # every alternative begins outside ASCII or with an ampersand, which is tested first
@@ -99,13 +117,21 @@ SUSPECT = (
     "|[─-╿Γ][^\\x00-\\x7f]|[¬√ƒ≈‚][^\\x00-\\x7f]|Г "
     "|(?<=[A-Za-zÀ-ſ] ?)[Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-zÀ-ſ]|[В-Ев][^\\x00-\\x7fа-я]"
     "|&([Aa](circ|tilde|uml|ring|acute)|Icirc|Iuml|ETH|eth|Ntilde|fnof);"
+    f"|{_ODD}"
     f"|{'|'.join(map(_pattern, CODECS))})"
 )
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
-def mask(word: str) -> str:
-    """The word with a wildcard for every letter outside ASCII."""
-    return "".join(c if c.isascii() else LOST for c in word)
+def key_of(word: str) -> str:
+    """What a word is looked up by: its ASCII letters with one mark for each stretch of others.
+
+    A decoding or a wildcard changes such a stretch only, so every reading of a damaged
+    word has its key. A word of other letters alone is its own key.
+    """
+    if any(c.isascii() for c in word):
+        return _NOT_ASCII.sub(LOST, word)
+    return LOST if len(word) == 1 and word < "ƀ" else "=" + word
 
 
 def _decode(run: str, codec: str) -> str | None:
@@ -136,97 +162,305 @@ def unescape(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _sites(text: str) -> list[tuple[int, int, list[str]]]:
-    """(begin, end, readings) of the runs that may be misread, without overlaps."""
-    found: list[tuple[int, int, str]] = []
-    have = set(text)
-    for codec, pattern in _SEQUENCES.items():
-        if have.isdisjoint(_BEGINS[codec]):
-            continue
-        end = 0
-        for begin in _BEGIN[codec].finditer(text):
-            if begin.start() < end or not (m := pattern.match(text, begin.start())):
-                continue
-            end = m.end()
-            if (d := _decode(m.group(), codec)) is not None:
-                found.append((m.start(), m.end(), d))
-    sequences = list(found)  # they explain a run better than single letters do
-    for m in _MIXED.finditer(text) if any("Ѐ" <= c <= "ґ" for c in have) else ():
-        table = BYTES["cp1251"]
-        if not any(a < m.end() and m.start() < b for a, b, _ in sequences) and all(c in table or c.isascii() or c in BYTES["western"] for c in m.group()):
-            found.append((m.start(), m.end(), "".join(bytes([table[c]]).decode("cp1252", "replace") if c in table else c for c in m.group())))
-    found.sort(key=lambda s: (s[0], -s[1]))
-    out: list[tuple[int, int, list[str]]] = []
-    for a, b, d in found:
-        if out and a < out[-1][1]:
-            if (a, b) == out[-1][:2] and d not in out[-1][2]:
-                out[-1][2].append(d)
-            continue
-        out.append((a, b, [d]))
-    return out
-
-
-def _tokens(text: str) -> list[tuple[int, int, list[tuple[int, int, list[str]]]]]:
-    """Words around the sites: (begin, end, sites inside)."""
-    out: list[tuple[int, int, list]] = []
-    for site in _sites(text):
-        a, b = site[:2]
-        while a and (text[a - 1].isalpha() or text[a - 1] in "'’"):
-            a -= 1
-        while b < len(text) and (text[b].isalpha() or text[b] in "'’"):
-            b += 1
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]), [*out[-1][2], site])
-        else:
-            out.append((a, b, [site]))
-    return out
+Edge = tuple[int, str, float]  # end, what it reads, cost
 
 
-def _readings(text: str, token: tuple, beam: int = BEAM) -> list[tuple[float, str, bool]]:
-    """(channel cost, reading, whether it decodes anything) of a token's lattice."""
-    a, b, sites = token
-    paths = [(0.0, "", False)]
-    at = a
-    for begin, end, decoded in sites:
-        keep, raw = text[at:begin], text[begin:end]
-        edges = [(LEFT, raw, False), *((DECODED, d, True) for d in decoded)]
-        paths = sorted(((c + e, s + keep + r, k or x) for c, s, k in paths for e, r, x in edges), key=lambda p: p[0])[:beam]
-        at = end
-    return [(c, s + text[at:b], k) for c, s, k in paths]
+class Lattice:
+    """The edges over a text, and the tokens (words with damage) they lie in.
 
+    ``edges`` decode; ``guesses`` may only be part of a word that the corpus has, and read
+    LOST as any letter outside ASCII, or as one of ``LEAD_LETTERS``.
+    """
 
-def masks_of(text: str) -> set[str]:
-    """Masks of all words that a decision about ``text`` may ask for."""
+    def __init__(self, text: str):
+        self.text = text
+        self.edges: dict[int, list[Edge]] = {}
+        self.guesses: dict[int, list[Edge]] = {}
+        self.literal: dict[int, float] = {}  # cost of leaving a character that may be decoded
+        spans = self._sequences()
+        covered = {k for a, b in spans for k in range(a, b)}
+        spans |= self._cyrillic(covered)
+        spans |= self._lost() | self._one_byte(covered)
+        self.tokens = self._words(spans)
+
+    def _sequences(self) -> set[tuple[int, int]]:
+        text, spans = self.text, set()
+        have = set(text)
+        for codec, pattern in _SEQUENCES.items():
+            if have.isdisjoint(_BEGINS[codec]):
+                continue
+            end = 0
+            for begin in _BEGIN[codec].finditer(text):
+                if begin.start() < end or not (m := pattern.match(text, begin.start())):
+                    continue
+                end = m.end()
+                decoded = _decode(m.group(), codec)
+                if decoded is None:
+                    continue
+                spans.add(m.span())
+                self._add(self.edges, m.start(), m.end(), decoded, DECODED + RARER * (codec != CODECS[0]))
+                if len(decoded) > 1:  # each sequence of a run by itself, so that words may end between them
+                    at = m.start()
+                    for c in decoded:
+                        n = len(c.encode("utf-8"))
+                        if at + n <= m.end() and _decode(text[at : at + n], codec) == c:
+                            self._add(self.edges, at, at + n, c, (DECODED + RARER * (codec != CODECS[0])) / len(decoded) + 0.01)
+                            at += n
+                        else:
+                            break
+        # overlapping spans of several encodings are one region; leaving it costs as much as leaving one sequence
+        region: list[int] = []
+        for a, b in [*sorted(spans), (len(text) + 1, 0)]:
+            if region and a >= region[1]:
+                price = (LEFT + (BROKEN if _structure(text, region[0], region[1]) else 0.0)) / (region[1] - region[0])
+                self.literal |= dict.fromkeys(range(*region), price)
+                region = []
+            region = [region[0], max(region[1], b)] if region else [a, b]
+        return spans
+
+    def _add(self, edges: dict[int, list[Edge]], a: int, b: int, reads: str, cost: float) -> None:
+        edges.setdefault(a, []).append((b, reads, cost))
+
+    def _cyrillic(self, covered: set[int]) -> set[tuple[int, int]]:
+        """Words with single Western bytes read as Cyrillic; sequences explain a run better than single letters do."""
+        text, spans = self.text, set()
+        for m in _MIXED.finditer(text) if _HAS_CYRILLIC(text) else ():
+            if not covered.isdisjoint(range(*m.span())):
+                continue
+            for codec in CYRILLIC:
+                table = BYTES[codec]
+                if all(c in table or c.isascii() or c in BYTES["western"] for c in m.group()):
+                    reads = "".join(bytes([table[c]]).decode("cp1252", "replace") if c in table else c for c in m.group())
+                    if codec == CYRILLIC[0] or all(c.isalpha() and c < "ƀ" for c in reads):
+                        spans.add(m.span())
+                        self._add(self.edges if codec == CYRILLIC[0] else self.guesses, *m.span(), reads, DECODED + SELDOM * (codec != CYRILLIC[0]))
+            if m.span() in spans:
+                broken = BROKEN if _structure(text, *m.span()) else 0.0
+                self.literal |= dict.fromkeys(range(*m.span()), (LEFT + broken) / (m.end() - m.start()))
+        return spans
+
+    def _lost(self) -> set[tuple[int, int]]:
+        text, spans = self.text, set()
+        for m in _LOST_RUN.finditer(text):
+            spans.add(m.span())
+            for i in range(*m.span()):
+                for n, cost in enumerate(LOST_AS, 1):
+                    if i + n <= m.end():
+                        self._add(self.guesses, i, i + n, LOST, cost)
+                lead = BYTES["western"].get(text[i - 1 : i], 0)
+                if lead in LEAD_LETTERS:  # the continuation of a sequence is lost
+                    self._add(self.guesses, i - 1, i + 1, chr(0xE000 + lead), DECODED + LOST_AS[0])
+        return spans
+
+    def _one_byte(self, covered: set[int]) -> set[tuple[int, int]]:
+        text, spans = self.text, set()
+        odd = {m.start() for m in _ODD_WORD.finditer(text)} - covered if not text.isascii() else set()
+        for at in sorted(odd):
+            a, b = at, at + 1
+            while a and (text[a - 1].isalpha() or text[a - 1] in _ODD_SIGNS):
+                a -= 1
+            while b < len(text) and (text[b].isalpha() or text[b] in _ODD_SIGNS):
+                b += 1
+            if text[at] in _ODD_SIGNS:
+                self.literal[at] = STAYS
+            if (a, b) in spans:
+                continue
+            spans.add((a, b))
+            for i in range(a, b):
+                for codec in WESTERN if not text[i].isascii() else ():
+                    byte = BYTES[codec].get(text[i])
+                    reads = bytes([byte]).decode("cp1252", "replace") if byte else LOST
+                    if reads.isalpha() and reads != text[i]:
+                        self._add(self.guesses, i, i + 1, reads, ONE_BYTE)
+        return spans
+
+    def _words(self, spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        text, out = self.text, []
+        for a, b in sorted(spans):
+            while a and (text[a - 1].isalpha() or text[a - 1] in _JOINING):
+                a -= 1
+            while b < len(text) and (text[b].isalpha() or text[b] in _JOINING):
+                b += 1
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+    def keys(self, token: tuple[int, int]) -> set[str]:
+        """Keys of all words that a path through the token may spell."""
+        text, (a, b), out = self.text, token, set()
+        inside = {k for i in range(a, b) for edges in (self.edges, self.guesses) for j, _, _ in edges.get(i, ()) for k in range(i, j)}
+        stretches: list[str] = []
+
+        def words() -> None:
+            for i in range(len(stretches)):
+                for j in range(i + 1, min(len(stretches), i + STRETCHES) + 1):
+                    part = stretches[i:j]
+                    if LOST in part:
+                        out.add("".join(part))
+            stretches.clear()
+
+        for i in range(a, b):
+            c = text[i]
+            if i in inside or not c.isascii():
+                if not stretches or stretches[-1] != LOST:
+                    stretches.append(LOST)
+            elif c.isalpha():
+                if stretches and stretches[-1] != LOST:
+                    stretches[-1] += c
+                else:
+                    stretches.append(c)
+            else:
+                words()
+        words()
+        for i in range(a, b):
+            for _, reads, _ in self.edges.get(i, ()):
+                out |= {key_of(w) for w in _WORD.findall(reads) if not w.isascii()}
+        for w in _WORD.findall(text[a:b]):
+            out |= {key_of(x) for x in (w, w.translate(_LOOKALIKE)) if not x.isascii()}
+        return out
+
+    def best(self, token: tuple[int, int], words: dict, total: float) -> tuple[str, bool]:
+        """(cheapest reading, whether it decodes anything) of a token; ``words`` is a trie of the corpus's words with their costs."""
+        text, (a, b) = self.text, token
+        unknown = UNKNOWN + math.log(total)
+        # at each place by state: between words, in a plain word, in a word the corpus doesn't have, behind a word it has, before one;
+        # a path is its cost, the path before, what was read last, and whether something was decoded
+        paths: list[dict[str, tuple]] = [{} for _ in range(b - a + 1)]
+        paths[0]["between"] = (0.0, None, "", False)
+
+        def relax(j: int, state: str, cost: float, path: tuple, read: str, decodes: bool) -> None:
+            have = paths[j - a].get(state)
+            if have is None or cost < have[0]:
+                paths[j - a][state] = (cost, path, read, path[3] or decodes)
+
+        for i in range(a, b):
+            here = paths[i - a]
+            if not here:
+                continue
+            stays = STAYS + self._torn(i, i + 1) if text[i] == LOST else 0.0
+            plain = [(i + 1, text[i], self.literal.get(i, 0.0) + stays, False)]
+            decoded = [(j, reads, cost, True) for j, reads, cost in self.edges.get(i, ()) if j <= b]
+            for state, path in here.items():
+                if state == "elided":
+                    continue
+                cost = path[0]
+                for j, reads, price, new in plain + decoded:
+                    own, at = cost + price, state
+                    for c in reads:
+                        if c == LOST:
+                            at = "plain" if at in ("between", "behind") else at
+                        elif not c.isalpha():
+                            at = "between"
+                        elif at == "behind":
+                            own = math.inf
+                        elif c.isascii():
+                            at = "plain" if at == "between" else at
+                        elif at != "unknown":
+                            at, own = "unknown", own + unknown
+                    if own < math.inf:
+                        relax(j, at, own, path, reads, new)
+                if text[i] == LOST:
+                    for n in (1, 3):
+                        if text[i : i + n] == LOST * n and i + n <= b:
+                            before, last = "", path
+                            while last and len(before) < 12:
+                                before, last = last[2] + before, last[1]
+                            for mark, price in self._marks(i, i + n, (text[max(0, a - 12) : a] + before)[-12:]):
+                                relax(i + n, "elided" if text[i + n : i + n + 1] == LOST else "between", cost + price + MARK + self._torn(i, i + n), path, mark, False)
+            for path in (here[state] for state in ("between", "elided") if state in here):
+                stack = [(words, i, path[0], "", False)]
+                while stack:
+                    node, k, cost, read, decodes = stack.pop()
+                    if k > i and "" in node:
+                        relax(k, "behind", cost + node[""], path, read, decodes)
+                    if k >= b:
+                        continue
+                    if text[k] in node:
+                        stack.append((node[text[k]], k + 1, cost + self.literal.get(k, 0.0), read + text[k], decodes))
+                    for edges, new in ((self.edges, True), (self.guesses, None)):
+                        for j, reads, price in edges.get(k, ()):
+                            if j > b:
+                                continue
+                            if reads == LOST or "\ue000" <= reads[0] <= "\ue0ff":
+                                wanted = LEAD_LETTERS.get(ord(reads[0]) - 0xE000)
+                                for c, child in node.items():
+                                    if c and not c.isascii() and (wanted is None or c in wanted):
+                                        stack.append((child, j, cost + price, read + c, decodes or wanted is not None))
+                                continue
+                            at = node
+                            for c in reads:
+                                at = at.get(c)
+                                if at is None:
+                                    break
+                            else:
+                                stack.append((at, j, cost + price, read + reads, True))
+        last = min((p for state, p in paths[-1].items() if state != "elided"), key=lambda p: p[0])
+        decodes, read = last[3], []
+        while last:
+            read.append(last[2])
+            last = last[1]
+        return "".join(reversed(read)), decodes
+
+    def _torn(self, a: int, b: int) -> float:
+        """Cost of the pieces of words beside lost characters that are no letters."""
+        return UNKNOWN * (self.text[a - 1 : a].isalpha() + self.text[b : b + 1].isalpha())
+
+    def _marks(self, a: int, b: int, before: str) -> Iterator[tuple[str, float]]:
+        """Marks that lost characters may have been, by what surrounds them."""
+        left, right = before[-1:].strip(), self.text[b : b + 1].strip()
+        if left == LOST:
+            return
+        if right == LOST:  # only an elision before a word that the corpus has
+            if _ELIDED.search(before):
+                yield "’", 2.0
+            return
+        for mark, cost in _MARKS:
+            if mark in "“«„‘¿¡":
+                fits = not left and bool(right)
+            elif mark in "”»…":
+                fits = bool(left) and not right
+            elif mark == "’" and left and right:  # an elision before a vowel, or an English ending
+                fits = (bool(_ELIDED.search(before)) and right.lower() in "aeiouyhâàéèêëîïôœûù") or (left.isalpha() and bool(_ADDED.match(self.text, b)))
+            else:
+                fits = bool(left) == bool(right) and not (mark in "—–" and left)
+            if fits:
+                yield mark, cost
+
+
+_HAS_CYRILLIC = re.compile("[Ѐ-ґ]").search
+_LOST_RUN = re.compile(f"{LOST}+")
+_JOINING = f"'’{LOST}"
+_ODD_SIGNS = "÷▀∩ˆ´˜¯"
+#: Letters that a lead byte begins when its continuation is lost.
+LEAD_LETTERS = {lead: frozenset(c for x in range(64) if (c := chr((lead & 0x1F) << 6 | x)).isalpha()) for lead in _LEADS[2]}
+
+
+def keys_of(text: str) -> set[str]:
+    """Keys of all words that a decision about ``text`` may ask for.
+
+    A second reading changes the same stretches as the first, so it asks for the same keys;
+    texts are read again for what only then becomes a sequence.
+    """
     out: set[str] = set()
     for _ in range(ROUNDS):
         text = unescape(text)
-        tokens = _tokens(text)
-        for token in tokens:
-            for _, reading, _ in _readings(text, token):
-                out.update(mask(w) for w in _WORD.findall(reading) if not w.isascii())
-                out.update(mask(w) for w in _LOST_WORD.findall(reading))
-            for w in _WORD.findall(text[token[0] : token[1]].translate(_LOOKALIKE)):
-                out.add(mask(w))
-        if not tokens:
+        lattice = Lattice(text)
+        for token in lattice.tokens:
+            out |= lattice.keys(token)
+        again, at = [], 0
+        for i in sorted(lattice.edges):
+            if i >= at:
+                end, reads, _ = lattice.edges[i][0]
+                again += [text[at:i], reads]
+                at = end
+        if not at:
             break
-        for a, b, sites in reversed(tokens):
-            for begin, end, decoded in reversed(sites):
-                text = text[:begin] + decoded[0] + text[end:]
-    for m in _LOST_WORD.finditer(text):
-        w = m.group()
-        out |= {w, w.strip(LOST), w.lstrip(LOST), w.rstrip(LOST)} - {""}
+        text = "".join(again) + text[at:]
     return out
 
 
-def _word_cost(words: list[str], counts: dict[str, int], total: float) -> float:
-    cost = 0.0
-    for w in words:
-        if not w.isascii():
-            n = counts.get(w, 0)
-            cost += -math.log(n / total) if n else UNKNOWN + math.log(total)
-    return cost
-
-
 def _structure(text: str, a: int, b: int) -> bool:
     """Whether the run can't stand as it is: a mark in the middle of a word, a capital or a sign after a small letter."""
     run = text[a:b]
@@ -245,90 +479,62 @@ def _structure(text: str, a: int, b: int) -> bool:
     )
 
 
+#: Words of the corpus that are damaged themselves: a large letter after a small one, or a lead byte's letter before another letter outside ASCII.
+_GARBLED = re.compile("[a-zß-öø-ÿœšž][A-ZÀ-ÖØ-ÞŒŠŽ]|[ÂÃ][^\x00-\x7f]")
+
+
+def _trie(counts: dict[str, int], total: float) -> dict:
+    words: dict = {}
+    for w, n in counts.items():
+        if _GARBLED.search(w):
+            continue
+        node = words
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = -math.log(n / total)
+    return words
+
+
 def restore(text: str, counts: dict[str, int], total: float = 1e6) -> tuple[str, bool]:
-    """(restored text, whether anything was damaged)."""
+    """(restored text, whether anything was damaged); ``counts`` of the corpus's words outside ASCII, ``total`` of all its words."""
     damaged = LOST in text
+    total = max(total, 1.0, *counts.values()) if counts else max(total, 1.0)
+    words = _trie(counts, total)
     for _ in range(ROUNDS):
         plain = unescape(text)
         changed = plain != text
         text = plain
-        for token in reversed(_tokens(text)):
-            a, b, sites = token
-            best = None
-            for channel, reading, decodes in _readings(text, token):
-                if not decodes and all(_structure(text, s, e) for s, e, _ in sites):
-                    channel += 40.0
-                cost = channel + _word_cost(_WORD.findall(reading), counts, total)
-                if best is None or cost < best[0]:
-                    best = (cost, reading, decodes)
-            raw = text[a:b]
-            if best and best[2] and not _disguise(raw, best[1], counts):
-                text = text[:a] + best[1] + text[b:]
-                changed = damaged = True
+        lattice = Lattice(text)
+        out, at = [], 0
+        for a, b in lattice.tokens:
+            read, decodes = lattice.best((a, b), words, total)
+            if read == text[a:b] or (decodes and _disguise(text[a:b], read, counts)):
+                continue
+            out += [text[at:a], read]
+            at = b
+            changed = True
+            damaged = damaged or decodes
+        text = "".join(out) + text[at:]
         if not changed:
             break
-    return _fill(text, counts, total), damaged
+    return text, damaged
 
 
 def _disguise(raw: str, reading: str, counts: dict[str, int]) -> bool:
     """Letters of another script that only look like the right ones."""
     plain = raw.translate(_LOOKALIKE)
-    return raw != plain and plain != raw and counts.get(plain, 0) > counts.get(reading, 0)
-
-
-def _fill(text: str, counts: dict[str, int], total: float) -> str:
-    """Viterbi over the wildcards: each is a letter of a word the corpus knows, or a mark."""
-    if LOST not in text:
-        return text
-    by_mask: dict[str, list[tuple[int, str]]] = {}
-    for w, n in counts.items():
-        by_mask.setdefault(mask(w), []).append((n, w))
-    out, at = [], 0
-    for m in _LOST_WORD.finditer(text):
-        run = m.group()
-        # best[i]: cheapest reading of run[:i]
-        best: list[tuple[float, str] | None] = [(0.0, "")] + [None] * len(run)
-        for i in range(len(run)):
-            if best[i] is None:
-                continue
-            cost, read = best[i]
-            for j in range(i + 1, len(run) + 1):
-                part = run[i:j]
-                options = []
-                if LOST in part:
-                    options = [(-math.log(n / total), w) for n, w in sorted(by_mask.get(part, []), reverse=True)[:3]]
-                    if part == LOST:
-                        left = (read[-1:] or text[m.start() - 1 : m.start()]).strip()
-                        right = (text[m.start() + j] if m.start() + j < len(text) else "").strip()
-                        for mark, c in _MARKS:
-                            opening, closing = mark in "“«„‘¿¡", mark in "”»…"
-                            fits = (not left and bool(right)) if opening else (bool(left) and not right) if closing else bool(left) == bool(right)
-                            if mark in "—–" and left and right:
-                                fits = False
-                            if mark == "’" and left and right:  # an elision, or an ending after a name
-                                fits = len(re.split(r"[^\w]", read)[-1]) <= 2 or re.match(r"(?:s|t|d|m|ll|re|ve)\b", run[j:]) is not None
-                            if fits:
-                                options.append((c + 6.0, mark))
-                        options.append((STAYS, LOST))
-                else:
-                    options = [(UNKNOWN, part)] if (i, j) == (0, len(run)) or run[i - 1 : i] == LOST or run[j : j + 1] == LOST else []
-                for c, w in options:
-                    if best[j] is None or cost + c < best[j][0]:
-                        best[j] = (cost + c, read + w)
-        out += [text[at : m.start()], best[-1][1] if best[-1] else run]
-        at = m.end()
-    return "".join(out) + text[at:]
+    return raw != plain and counts.get(plain, 0) > counts.get(reading, 0)
 
 
 def _corpus_words(texts: DataFrame) -> DataFrame:
-    """(mask, word, n) of all words outside ASCII, over all texts; the empty word has the number of all words."""
+    """(key, word, n) of all words outside ASCII, over all texts; the empty word has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {"": 0}
 
         def out() -> pa.RecordBatch:
             words = list(seen)
-            b = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(map(mask, words)), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "mask", "n"])
+            b = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([key_of(w) if w else "" for w in words], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "key", "n"])
             seen.clear()
             seen[""] = 0
             return b
@@ -349,7 +555,7 @@ def _corpus_words(texts: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return texts.mapInArrow(run, "word string, mask string, n long").groupBy("mask", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word string, key string, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
 
 
 def repair_encoding(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -368,18 +574,20 @@ def repair_encoding(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = [sorted(masks_of(t)) for t in batch.column(1).to_pylist()]
+            asked = [sorted(keys_of(t)) for t in batch.column(1).to_pylist()]
             yes = pa.array([i for i, (m, t) in enumerate(zip(asked, batch.column(1).to_pylist())) if m or LOST in t], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(yes), batch.column(1).take(yes), pa.array(asked, pa.list_(pa.string())).take(yes)], ["id", "text", "masks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(yes), batch.column(1).take(yes), pa.array(asked, pa.list_(pa.string())).take(yes)], ["id", "text", "keys"])
 
-    asked = suspects.mapInArrow(propose, f"id {kind}, text string, masks array<string>")
-    asked = materialize(asked.withColumn("key", F.xxhash64("id", "text")), "suspects")
-    wanted = asked.select("key", F.explode("masks").alias("mask"))
+    asked = suspects.mapInArrow(propose, f"id {kind}, text string, keys array<string>")
+    asked = materialize(asked.withColumn("row", F.xxhash64("id", "text")), "suspects")
+    wanted = asked.select("row", F.explode("keys").alias("key"))
     corpus = materialize(_corpus_words(texts.select("text")), "corpus-words")
     total = float(corpus.filter("word = ''").agg(F.sum("n")).first()[0] or 1)
-    words = corpus.filter("word <> ''").join(wanted, "mask")
-    known = words.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    rows = asked.join(known, "key", "left").select("id", "text", "known")
+    # the words of a key are few (ways to accent its letters) and are one row before they meet the suspects
+    words = corpus.filter("word <> ''").join(wanted.select("key").distinct(), "key", "left_semi")
+    words = words.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    known = wanted.join(words, "key").groupBy("row").agg(F.flatten(F.collect_list("words")).alias("known"))
+    rows = asked.join(known, "row", "left").select("id", "text", "known")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
