@@ -159,3 +159,42 @@ def test_copies_ties_and_unusable(spark):
     assert (0, 1) in pairs and (0, 40) in pairs and all(a < b for a, b in pairs)
     assert knn.nearest(df.limit(0)).count() == 0
     assert knn.nearest(df.filter("chunk_id = 5")).count() == 0
+
+
+def recall(spark, x, **how):
+    got = {}
+    for r in knn.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "chunk_id long, embedding array<float>"), **how).collect():
+        got.setdefault(r["chunk_id"], []).append((r["rank"], r["neighbour_id"]))
+    want = exact(list(range(len(x))), x.astype(np.float64), 10)
+    assert all(len(got[i]) == 10 for i in want)
+    return sum(len({n for n, _ in want[i]} & {n for _, n in got[i]}) for i in want) / (10 * len(x)), [[n for _, n in sorted(got[i])] == [n for n, _ in want[i]] for i in want]
+
+
+@pytest.mark.parametrize("cell", [20_000, 400])
+def test_few_lists_are_searched_by_sublists(spark, monkeypatch, cell):
+    monkeypatch.setattr(knn, "CELL_SIZE", cell)  # 400: each list is split over several tasks
+    x = clusters(4000, seed=5)
+    assert knn.fit(x, 4000, max_lists=2).parts.tolist() == ([1, 1] if cell > 400 else knn.fit(x, 4000, max_lists=2).parts.tolist())
+    assert cell > 400 or min(knn.fit(x, 4000, max_lists=2).parts) > 1
+    assert recall(spark, x, max_lists=2)[0] >= 0.9
+
+
+def test_exact_on_noise(spark):
+    x = np.random.default_rng(4).standard_normal((1200, 64)).astype(np.float32)
+    share, equal = recall(spark, x, exact=True, max_lists=8)
+    assert share == 1.0 and all(equal)
+
+
+def test_sample_of_a_huge_table_is_not_empty(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SAMPLE", 40)  # a small share of the table
+    x = clusters(2000, seed=6)
+    assert recall(spark, x)[0] >= 0.9
+    assert len(knn.fit(np.zeros((0, 64), np.float32), 10**12).centroids) == 1
+
+
+def test_sublists():
+    x = clusters(3000, seed=8)
+    home = np.array([0] * 2000 + [1] * 900 + [-1] * 100)
+    fine, probes = knn.sublists(x, home, [np.array([0, 1])] * 3000, 12)
+    assert (fine[2900:] == -1).all() and set(fine[:2000]).isdisjoint(fine[2000:2900]) and len(set(fine[:2000])) >= 10
+    assert all(len(p) <= 12 for p in probes) and np.mean([f in p for f, p in zip(fine[:2900], probes)]) > 0.99
