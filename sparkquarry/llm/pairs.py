@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-LANGUAGES = ("en", "fr", "de", "es")
-#: The language model is fitted on at most so many labelled texts of each language, of at most so many characters.
-SAMPLE, SAMPLE_CHARS = 600, 1500
+#: The language model is fitted on at most SAMPLE labelled texts of each language, whole ones of SHORT to LONG characters;
+#: a language needs LEAST_TEXTS of them. The languages are the two-letter codes among the labels.
+SAMPLE, SHORT, LONG, LEAST_TEXTS = 600, 40, 20_000, 10
+#: Stands for every language written in letters that no labelled text has.
+OTHER = "other"
 #: Posterior odds (nats) below which a language is taken as unknown.
 SURE = 6.0
 #: Words whose scores a worker remembers.
@@ -94,8 +96,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _words(text: str) -> Iterator[str]:
-    """The words that aren't names: all languages share the names."""
-    return (w for w in _LETTERS.findall(text) if w[0].islower())
+    """The words that aren't names: all languages share the names. Scripts without capitals have no names."""
+    return (w for w in _LETTERS.findall(text) if not w[0].isupper())
 
 
 def _grams(word: str) -> Iterator[str]:
@@ -107,39 +109,46 @@ def _grams(word: str) -> Iterator[str]:
 
 
 class Languages:
-    """Naive Bayes over character n-grams with add-one smoothing."""
+    """Naive Bayes over character n-grams with add-one smoothing; the classes are those of the samples."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        counts = {lang: Counter(g for t in samples.get(lang, ()) for w in _words(t) for g in _grams(w)) for lang in LANGUAGES}
+        self.names = sorted(lang for lang, texts in samples.items() if texts)
+        counts = [Counter(g for t in samples[lang] for w in _words(t) for g in _grams(w)) for lang in self.names]
         every = Counter()
-        for c in counts.values():
+        for c in counts:
             every.update(c)
-        kept = [g for g, n in every.most_common(20_000) if n > 1]
-        self.logs: dict[str, tuple[float, ...]] = {}
+        kept = [g for g, n in every.items() if n > 1]
+        totals = [sum(c[g] for g in kept) + len(kept) + 1 for c in counts]
+        self.logs = {g: tuple(math.log((c[g] + 1) / t) for c, t in zip(counts, totals)) for g in kept}
         self.known: dict[str, tuple[float, ...]] = {}  # words scored before
-        totals = [sum(c[g] for g in kept) + len(kept) + 1 for c in counts.values()]
-        for g in kept:
-            self.logs[g] = tuple(math.log((c[g] + 1) / t) for c, t in zip(counts.values(), totals))
+        seen = Counter(c for texts in samples.values() for t in texts for c in t.casefold() if c.isalpha())
+        self.alphabet = frozenset(c for c, n in seen.items() if n > 1)
 
     def _score(self, word: str) -> tuple[float, ...]:
         rows = [ls for g in _grams(word) if (ls := self.logs.get(g)) is not None]
-        own = tuple(map(sum, zip(*rows))) if rows else (0.0,) * len(LANGUAGES)
+        own = tuple(map(sum, zip(*rows))) if rows else (0.0,) * len(self.names)
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[word] = own
         return own
 
     def of(self, text: str) -> tuple[str | None, float]:
-        """(language, odds in nats to the next); None where it isn't sure."""
-        scores = [0.0] * len(LANGUAGES)
+        """(language, odds in nats to the next); None where it isn't sure, OTHER where most letters are of no language known."""
+        if not text.isascii():
+            own = [c for c in text.casefold() if c.isalpha()]
+            if sum(c not in self.alphabet for c in own) > len(own) / 2 and self.alphabet:
+                return OTHER, math.inf
+        if len(self.names) < 2:
+            return None, 0.0
+        scores = [0.0] * len(self.names)
         for w in _words(text):
             if (own := self.known.get(w)) is None:
                 own = self._score(w)
             for k, x in enumerate(own):
                 scores[k] += x
-        order = sorted(range(len(LANGUAGES)), key=lambda k: -scores[k])
+        order = sorted(range(len(scores)), key=lambda k: -scores[k])
         odds = scores[order[0]] - scores[order[1]]
-        return (LANGUAGES[order[0]] if odds >= SURE else None), odds
+        return (self.names[order[0]] if odds >= SURE else None), odds
 
 
 def _kind(line: str) -> str:
@@ -192,14 +201,19 @@ def asked_contexts(response: str | None) -> list[str]:
 
 
 class Endings:
-    """How often a text ends in a context, and a name after its last letters."""
+    """How often a text ends in a context, and a name after its last letters; smoothed.
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
+    ``itself``: the text that is judged is among those counted; its own end is no evidence.
+    """
+
+    def __init__(self, rows: list[tuple[str, int, int]], itself: bool = True):
         self.seen = {c: (ends, n) for c, n, ends in rows}
+        self.itself = itself
 
     def probability(self, context: str) -> float:
         ends, n = self.seen.get(context, (0, 0))
-        return (ends + 0.02) / (n + 1)
+        own = min(ends, int(self.itself))
+        return (ends - own + 0.02) / (n - own + 1)
 
 
 def classify(query: str | None, response: str | None, languages: Languages, endings: Endings) -> str | None:
@@ -248,7 +262,7 @@ def refuses(query: str, text: str) -> bool:
     for s in _SENTENCE.findall(own):
         if len(letters(s)) < 2 or s.strip().lower().rstrip(":") in ("you ask", "you asked", "the question is", "question", "q", "a"):
             continue
-        if _REFUSAL.search(s) and "overstate" not in s:
+        if _REFUSAL.search(s):
             declined = True
         elif not _COURTESY.search(s) and not (len(s.split()) <= 2):
             return False
@@ -282,12 +296,15 @@ def defects(df: DataFrame, labelled: DataFrame, id_col: str = "response_id", que
     rows = df.select(F.col(id_col).alias("id"), F.col(query_col).alias("query"), F.col(response_col).alias("response")).distinct()
     rows = materialize(rows, "pairs")
 
-    lang = F.lower(F.trim(lang_col))
-    texts = labelled.select(lang.alias("lang"), F.substring(lang_text_col, 1, SAMPLE_CHARS).alias("text"))
+    # the least by hash are drawn, so the sample doesn't depend on the order of rows; a task keeps SAMPLE of each language
+    lang = F.regexp_extract(F.lower(F.trim(F.col(lang_col))), "^([a-z]{2})(?:[-_].*)?$", 1)
+    texts = labelled.select(lang.alias("lang"), F.col(lang_text_col).alias("text")).filter((F.col("lang") != "") & F.length("text").between(SHORT, LONG))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    drawn = texts.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= SAMPLE).select("lang", "text").toArrow().to_pydict()
     samples: dict[str, list[str]] = {}
-    for code in LANGUAGES:  # the least by hash are drawn, so the sample doesn't depend on the order of rows
-        own = texts.filter((F.col("lang") == code) & (F.length("text") >= 40)).orderBy(F.xxhash64("text")).limit(SAMPLE)
-        samples[code] = own.toArrow().column("text").to_pylist()
+    for code, text in zip(drawn["lang"], drawn["text"]):
+        samples.setdefault(code, []).append(text)
+    samples = {code: own for code, own in samples.items() if len(own) >= LEAST_TEXTS}
     model = spark.sparkContext.broadcast(Languages(samples))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +322,7 @@ def defects(df: DataFrame, labelled: DataFrame, id_col: str = "response_id", que
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ends[c] for c in seen], pa.int64())], ["context", "n", "ends"])
 
     stats = rows.select("response").mapInArrow(count, "context string, n long, ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    # rare contexts say nothing; the others are joined to the responses that end in them, however many there are
+    # joined to the responses that end in them, however many there are
     key = F.xxhash64("id", "query", "response")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +331,7 @@ def defects(df: DataFrame, labelled: DataFrame, id_col: str = "response_id", que
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pc.list_parent_indices(asked)), asked.flatten()], ["key", "context"])
 
     asked = rows.select(key.alias("key"), "response").mapInArrow(ask, "key long, context string")
-    known = asked.join(stats.filter("n >= 3"), "context").groupBy("key").agg(F.collect_set(F.struct("context", "n", "ends")).alias("known"))
+    known = asked.join(stats, "context").groupBy("key").agg(F.collect_set(F.struct("context", "n", "ends")).alias("known"))
     joined = rows.withColumn("key", key).join(known, "key", "left").select("id", "query", "response", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -246,7 +246,7 @@ def models():
             for c, e in stream:
                 seen[c] = seen.get(c, 0) + 1
                 ends[c] = ends.get(c, 0) + e
-    return pairs.Languages(SAMPLES), pairs.Endings([(c, n, ends[c]) for c, n in seen.items()])
+    return pairs.Languages(SAMPLES), pairs.Endings([(c, n, ends[c]) for c, n in seen.items()], itself=False)
 
 
 Q = "What happened to the captain of the gate when it fell?"
@@ -268,6 +268,21 @@ def test_classify(models, query, response, want):
     assert pairs.classify(query, response, *models) == want
 
 
+def test_languages_of_the_labels_and_other_scripts(models):
+    ru, zh = "Капитан ворот сказал, что ничего не осталось для людей, которые были там зимой", "城门的队长说冬天倒下的时候那里的人什么都没有留下"
+    assert pairs.classify(Q, ru + ".", *models) == "language" and pairs.classify(Q, zh + "。", *models) == "language"
+    assert pairs.classify(ru + "?", SAMPLES["en"][0] + ".", *models) == "language" and pairs.classify(ru + "?", ru[10:] + ".", *models) is None
+    more = pairs.Languages(SAMPLES | {"ru": [ru] * 20, "xx": []})
+    assert more.names == ["de", "en", "es", "fr", "ru"] and more.of("было ничего для людей") == ("ru", more.of("было ничего для людей")[1])
+    assert pairs.Languages({}).of("anything at all") == (None, 0.0)
+
+
+def test_own_end_is_no_evidence():
+    e = pairs.Endings([("a", 1, 1), ("b", 100, 1), ("c", 100, 51)])
+    assert e.probability("a") == e.probability("never seen") == 0.02
+    assert e.probability("b") < pairs.ENDS < e.probability("c")
+
+
 def test_defects(spark):
     labelled = spark.createDataFrame([(k, t) for k, ls in SAMPLES.items() for t in ls] + [(None, None), ("EN", "The men said that it was there for the captain when it fell")], "lang string, text string")
     schema = "response_id long, query string, response string, defect int, chunks_used int"
