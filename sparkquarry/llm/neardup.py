@@ -1,11 +1,13 @@
 """Near-duplicate texts: an exact similarity join on sets of word n-grams.
 
-Method: prefix-tree join. The n-grams of all texts have one global order, rare ones first,
-so texts that are alike enough share an n-gram among their first ones. Those prefixes are
-joined under position and length bounds to name, for every text, the few texts it may be
-like; the partners of a text are stored in a trie of their ordered sets, which is traversed
-once with the text's own set: partners with a common beginning share the overlap counted so
-far, and a subtree is given up when even all that remains can't reach the threshold.
+Method: prefix-tree join. The n-grams of all texts have one global order, rare ones first.
+Ordered sets that may be alike are brought together in blocks; the sets of a block are
+stored in one trie, which is traversed with each set in turn: sets with a common beginning
+share the overlap counted so far, and a subtree is given up when even all that remains
+can't reach the threshold. Every row of the result comes out of a trie. Which sets share a
+block is told by their prefixes: sets alike enough share n-grams among their first ones,
+under bounds of position and length, and a set lies in the block of its least relation, so
+a family of many near copies is one block to which each text is sent once.
 """
 
 from __future__ import annotations
@@ -35,8 +37,12 @@ SLICES = 32
 COMMON = 2_000
 #: N-grams that two texts must share in their prefixes, which are longer by as many; one can be shared by chance.
 MEETINGS = 4
-#: Partners of a text that are verified together; more are spread over tasks.
+#: Sets that are stored in one trie; larger blocks are split by the halves of their pairs.
 PARTNERS = 2000
+#: N-grams that occur more often, by the sketch, are spread over several buckets, pair of shares by pair of shares.
+HOT = 8_000
+#: Load of the sketch's cells up to which counts are taken as they are; above it the mean load is noise and taken off.
+LOAD = 64
 #: Texts for each bucket of prefixes; a task holds the prefixes of one bucket.
 ROWS_PER_BUCKET = 15_000
 #: Characters and texts worked on at once.
@@ -233,7 +239,8 @@ class NearDuplicates:
                 for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     sums.setdefault(k, np.zeros(cells // SLICES, np.uint64))
                     sums[k] += np.frombuffer(zlib.decompress(part), np.uint16)
-            levels = [np.ceil(np.log2(s.astype(float) + 1)).astype(np.uint8).tobytes() for s in sums.values()]
+            # noise is told slice by slice: n-grams are spread over the cells evenly
+            levels = [np.ceil(np.log2(np.maximum(s - max(0.0, s.mean() - LOAD), 0) + 1)).astype(np.uint8).tobytes() for s in ((x.astype(float)) for x in sums.values())]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
 
         rows = both.filter(F.col("slice").isNotNull()).select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").collect()
@@ -252,7 +259,7 @@ class NearDuplicates:
         """(a, b), a < b: sets that meet in their prefixes under the bounds of length and position."""
         self.members()
         words, least, levels, bounds = self.words, self.least, self._levels, _Bounds(self.threshold)
-        common = int(np.ceil(np.log2(COMMON + 1)))
+        common, hot = int(np.ceil(np.log2(COMMON + 1))), max(1, int(np.ceil(np.log2(HOT + 1))))
         buckets = max(8, -(-self._rows // ROWS_PER_BUCKET))
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +278,9 @@ class NearDuplicates:
                     mine = np.zeros(len(sizes), bool)
                     mine[once] = True
                     keep = (pos < bounds.probe(sizes)[doc]) & mine[doc]
-                    doc, pos, grams = doc[keep], pos[keep], grams[keep]
+                    doc, pos, grams = _spread(doc[keep], pos[keep], grams[keep], level[keep], names, hot)
                     bucket = ((grams >> U(20)) % U(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
+                    order = np.lexsort((doc, bucket))
                     doc, pos, short, bucket = doc[order], pos[order], (grams[order] & U(0xFFFFFFFF)).astype(np.uint32), bucket[order]
                     edges = np.searchsorted(bucket, np.arange(buckets + 1))
                     rows = []
@@ -311,36 +318,35 @@ class NearDuplicates:
             return self._links
         pairs = materialize(self.candidates(), "candidates")
         words, levels, bounds = self.words, self._levels, _Bounds(self.threshold)
-        spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-        pairs = pairs.join(spread, "a").withColumn("part", F.pmod(F.hash("b"), F.col("parts")))
-        asks = pairs.select("a", "part").distinct().select("a", "part", F.col("a").alias("set"))
-        wanted = asks.unionByName(pairs.select("a", "part", F.col("b").alias("set")))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        block = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("least", "a").alias("block"))
+        pairs = pairs.join(block, "a")
+        size = pairs.select("block", F.explode(F.array("a", "b")).alias("set")).distinct().groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+        share = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+        placed = pairs.join(size, "block").select("block", share("a").alias("i"), share("b").alias("j"), F.explode(F.array("a", "b")).alias("set")).distinct()
         one = self.members().groupBy("set").agg(F.min("id").alias("id"))
-        rows = self.docs.join(wanted.join(one, "set"), "id").repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("set"), "set")
+        rows = self.docs.join(placed.join(one, "set"), "id").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "set")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group, own, trie = None, None, Trie()
+            group, last, trie = None, None, Trie()
             for batch in batches:
-                a, part, sets = (batch.column(k).to_pylist() for k in range(3))
+                keys, sets = list(zip(*(batch.column(k).to_pylist() for k in range(3)))), batch.column(3).to_pylist()
                 out: list[tuple[int, int]] = []
-                for begin, texts in _texts(batch, 3):
+                for begin, texts in _texts(batch, 4):
                     _, begins, grams = gram_sets(texts, words, 0)
                     grams = _ordered(grams, begins, levels.value)
                     for k in range(len(texts)):
-                        i = begin + k
-                        mine = grams[begins[k] : begins[k + 1]].tolist()
-                        if (a[i], part[i]) != group:
-                            if own is not None:
-                                out += [(group[0], m) for m in trie.alike(own, bounds)]
-                            group, own, trie = (a[i], part[i]), mine, Trie()
-                        elif sets[i] != group[0]:  # a repeated row brings the same set again
-                            trie.add(mine, sets[i])
+                        if keys[begin + k] != group:
+                            group, last, trie = keys[begin + k], None, Trie()
+                        own = sets[begin + k]
+                        if own == last:  # a repeated row brings the same set again
+                            continue
+                        mine, last = grams[begins[k] : begins[k + 1]].tolist(), own
+                        out += [(min(own, m), max(own, m)) for m in trie.alike(mine, bounds)]
+                        trie.add(mine, own)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-            if own is not None:
-                last = list(trie.alike(own, bounds))
-                yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(last), pa.int64()), pa.array(last, pa.int64())], ["a", "b"])
 
-        self._links = materialize(rows.select("a", "part", "set", "text").mapInArrow(verify, "a long, b long").distinct(), "links")
+        self._links = materialize(rows.select("block", "i", "j", "set", "text").mapInArrow(verify, "a long, b long").distinct(), "links")
         return self._links
 
     def pairs(self) -> DataFrame:
@@ -365,6 +371,25 @@ class NearDuplicates:
         return rows.join(names, "root").select(F.col("id").alias(self.id_col), "group_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
+def _spread(doc: np.ndarray, pos: np.ndarray, grams: np.ndarray, level: np.ndarray, names: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The postings, those of hot grams once for each pair of shares that their set's share is in.
+
+    A gram of 2^k times the hot frequency has 2^k shares of its sets; every two of them, and
+    each with itself, meet under a name of their own.
+    """
+    rows = np.flatnonzero(level > hot)
+    if not len(rows):
+        return doc, pos, grams
+    shares = np.left_shift(1, level[rows].astype(np.int64) - hot)
+    own = names.view(U)[doc[rows]] % shares.astype(U)
+    rows_, own_ = np.repeat(rows, shares), np.repeat(own.astype(np.int64), shares)
+    other = np.arange(len(rows_)) - np.repeat(np.cumsum(shares) - shares, shares)
+    pair = np.minimum(own_, other) << 20 | np.maximum(own_, other)
+    named = _mix(grams[rows_] ^ (pair.astype(U) + U(1)) << U(GRAM_BITS - 22)) >> U(64 - GRAM_BITS)
+    rest = level <= hot
+    return np.concatenate([doc[rest], doc[rows_]]), np.concatenate([pos[rest], pos[rows_]]), np.concatenate([grams[rest], named])
+
+
 def _meetings(names: np.ndarray, sizes: np.ndarray, rare: np.ndarray, grams: np.ndarray, places: np.ndarray, bounds: _Bounds) -> Iterator[tuple]:
     """(a, b, need, least, n, rest): pairs of sets that share ``n`` grams of one bucket within
     the bounds. They must share ``need`` of those that are met, and ``least`` in all; behind

@@ -102,7 +102,24 @@ def test_common_grams(spark, monkeypatch, common, seed):
         assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "chunk_id long, text string")).pairs().collect()} == brute(rows)[0]
 
 
-def test_partners_over_several_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 1, 7])
+def test_hot_grams_are_spread(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    for rows in (boilerplate(2, 60), family(3, 90)):
+        assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "chunk_id long, text string")).pairs().collect()} == brute(rows)[0]
+
+
+def test_each_text_of_a_family_is_sent_once(spark):
+    base = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(60)]
+    near = NearDuplicates(spark.createDataFrame(rows, "chunk_id long, text string"))
+    assert {tuple(r) for r in near.pairs().collect()} == brute(rows)[0]
+    pairs = near.candidates()
+    both = pairs.unionByName(pairs.selectExpr("b AS a", "a AS b"))
+    assert both.groupBy("a").agg({"b": "min"}).count() == 60 and near.links().count() == len(brute(rows)[0])
+
+
+def test_blocks_over_several_tries(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PARTNERS", 3)
     rows = family(5, 80)
     assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "chunk_id long, text string")).pairs().collect()} == brute(rows)[0]
