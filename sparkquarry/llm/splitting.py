@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
+#: Places a sparse table holds at once.
+STRETCH = 1 << 16
 #: Strengths, strongest first: after a blank line, a line, a sentence, a clause, a word.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD = 5, 4, 3, 2, 1
 _BOUNDARIES = (
@@ -38,21 +40,34 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMaximum:
-    """Sparse table: place of the greatest value in [lo, hi], the rightmost of equals."""
+    """Sparse table: place of the greatest value in [lo, hi], the rightmost of equals.
 
-    def __init__(self, values: np.ndarray):
+    Queries are at most ``widest`` places wide and move on through the values; the table is
+    made for one stretch of them at a time and of as many levels as such a query needs, so
+    its memory doesn't depend on the number of values.
+    """
+
+    def __init__(self, values: np.ndarray, widest: int):
+        self.values, self.widest = values, widest
+        self._build(0)
+
+    def _build(self, begin: int) -> None:
+        part = self.values[begin : begin + max(STRETCH, 2 * self.widest)]
         # value and place in one number, so that a maximum is the rightmost of equals
-        level = values.astype(np.int64) * (len(values) + 1) + np.arange(len(values))
-        self.n, self.levels, width = len(values) + 1, [level], 1
-        while 2 * width <= len(values):
+        level = part.astype(np.int64) * (len(part) + 1) + np.arange(len(part))
+        self.begin, self.end, self.n = begin, begin + len(part), len(part) + 1
+        self.levels, width = [level], 1
+        while 2 * width <= min(len(part), self.widest):
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
 
     def place(self, lo: int, hi: int) -> int:
+        if lo < self.begin or hi >= self.end:
+            self._build(max(0, lo - self.widest))
         k = (hi - lo + 1).bit_length() - 1
         level = self.levels[k]
-        return int(max(level[lo], level[hi - (1 << k) + 1]) % self.n)
+        return self.begin + int(max(level[lo - self.begin], level[hi - self.begin - (1 << k) + 1]) % self.n)
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -61,7 +76,7 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    table = RangeMaximum(s := strengths(text))
+    table = RangeMaximum(s := strengths(text), limit + 1)
     out, begin = [], 0
     while n - begin > limit:
         # The shortest permissible piece is half the limit, and longer than the overlap so that every cut moves on.

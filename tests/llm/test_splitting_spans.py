@@ -10,12 +10,16 @@ from sparkquarry.llm.spans import SharedSpans
 META = "chunk_id long, text string, source string, start int"
 
 
-def test_range_maximum():
+def test_range_maximum(monkeypatch):
     random.seed(1)
-    v = np.array([random.randint(0, 5) for _ in range(77)], np.int8)
-    t = splitting.RangeMaximum(v)
+    v = np.array([random.randint(0, 5) for _ in range(177)], np.int8)
+    t = splitting.RangeMaximum(v, 60)
+    monkeypatch.setattr(splitting, "STRETCH", 10)
+    short = splitting.RangeMaximum(v, 60)
     for _ in range(500):
-        a, b = sorted(random.sample(range(77), 2))
+        a = random.randrange(176)
+        b = min(176, a + random.randrange(60))
+        assert short.place(a, b) == t.place(a, b) and len(short.levels) <= 6
         best = max(v[a : b + 1])
         assert t.place(a, b) == max(i for i in range(a, b + 1) if v[i] == best)
 
@@ -31,6 +35,18 @@ def test_cuts(text, limit, overlap):
     assert len(text) <= limit or all(b - a <= limit for a, b in cuts)
 
 
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    text = "Some words, and more. " * 100_000
+    s = splitting.strengths(text)
+    tracemalloc.start()
+    splitting.RangeMaximum(s, 2001).place(2_000_000, 2_001_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
 def test_cuts_prefer_strong_boundaries():
     text = "one two three. " * 100 + "\n\n" + "four five six. " * 100
     (a, b), *_ = splitting.cuts(text, 2000, 100)
