@@ -48,6 +48,15 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_texts(table(spark, folder, "metadata"))
 
 
+def p4_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts over the size limit put together again from their pieces, and the length of the longest piece."""
+    piece = F.struct("piece", "start", "text")
+    rows = p4_pieces(spark, folder).groupBy("chunk_id", "source").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max(F.length("text")).alias("longest"))
+    # each piece as far as the next one begins
+    parts = F.transform("p", lambda x, i: F.substring(x["text"], F.lit(1), F.coalesce(F.get("p", i + 1)["start"] - x["start"], F.lit(splitting.LIMIT)).cast("int")))
+    return rows.select("chunk_id", F.array_join(parts, "").alias("text"), (F.col("longest") > splitting.LIMIT).alias("too_long"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks whose sets of three consecutive words are alike by 0.6 or more."""
     return neardup.NearDuplicates(table(spark, folder, "metadata")).pairs()
@@ -73,11 +82,27 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents"))
 
 
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text as its token ids give it back."""
+    return tokenizer.decode_corpus(p7_ids(spark, folder))
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Where every document lies in containers of 1,024 tokens."""
     return packing.pack(tokenizer.token_sizes(table(spark, folder, "documents")))
 
 
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: documents placed, pieces that are not numbered from 1, documents whose tokens are not all placed, containers over the capacity."""
+    docs = table(spark, folder, "documents")
+    placed = p8_containers(spark, folder)
+    own = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.sum("tokens").alias("placed"))
+    sizes = tokenizer.token_sizes(docs).filter("tokens > 0")
+    rows = sizes.join(own, "doc_id", "full").select(F.coalesce(F.col("n") != F.col("last"), F.lit(True)).cast("long").alias("p"), F.coalesce(F.col("tokens") != F.col("placed"), F.lit(True)).cast("long").alias("t"))
+    over = placed.groupBy("container_id").agg(F.sum("tokens").alias("used")).filter(F.col("used") > packing.CAPACITY).agg(F.count(F.lit(1)).alias("over_capacity"))
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("p"), F.lit(0)).alias("wrong_pieces"), F.coalesce(F.sum("t"), F.lit(0)).alias("wrong_tokens")).crossJoin(over)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that have 200 consecutive characters in common."""
     return spans.SharedSpans(table(spark, folder, "documents")).pairs()
@@ -92,7 +117,7 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p1_found, p1_restored, p2_found, p2_restored, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_containers, p9_found, p9_shared)}
+    return {q.__name__: q for q in (p1_found, p1_restored, p2_found, p2_restored, p3_found, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p7_decoded, p8_containers, p8_checked, p9_found, p9_shared)}
 
 
 #: White space that str.strip() removes, as a class.
@@ -104,16 +129,29 @@ _SPANS = """
 """
 
 
+_ALIKE = r"""
+    texts AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM metadata WHERE text IS NOT NULL),
+    grams AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+              FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) >= 20)),
+    sizes AS (SELECT chunk_id, count(*) AS n FROM grams GROUP BY 1),
+    both_have AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2),
+    alike AS (SELECT a, b FROM both_have JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE 10 * c >= 6 * (x.n + y.n - c))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"SELECT DISTINCT chunk_id FROM metadata WHERE length(regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g')) > 2000",
-        "p5_found": r"""
-            WITH texts AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM metadata WHERE text IS NOT NULL),
-            grams AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
-                      FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts WHERE len(w) >= 20)),
-            sizes AS (SELECT chunk_id, count(*) AS n FROM grams GROUP BY 1),
-            both_have AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
-            SELECT a AS chunk_id_a, b AS chunk_id_b FROM both_have JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE 10 * c >= 6 * (x.n + y.n - c)
+        "p4_rejoined": f"""
+            SELECT chunk_id, text, false AS too_long
+            FROM (SELECT DISTINCT chunk_id, source, regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') AS text FROM metadata) WHERE length(text) > 2000
+        """,
+        "p5_found": f"WITH {_ALIKE} SELECT a AS chunk_id_a, b AS chunk_id_b FROM alike",
+        "p5_groups": f"""
+            WITH RECURSIVE {_ALIKE}, both_ways AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+            reach AS (SELECT chunk_id, chunk_id AS other FROM sizes UNION SELECT reach.chunk_id, b FROM reach JOIN both_ways ON a = other),
+            links AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
+            SELECT chunk_id, min(other) AS group_id, any_value(coalesce(n, 0)) AS links FROM reach LEFT JOIN links ON a = chunk_id GROUP BY 1
         """,
         "p6_found": """
             WITH v AS (SELECT chunk_id, any_value(e) AS e FROM (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM chunk_vectors WHERE len(embedding) = 64)
@@ -123,6 +161,8 @@ def oracle_sql() -> dict[str, str]:
             best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near)
             SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM best WHERE r <= 10 AND s >= 0.8
         """,
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_checked": "SELECT count(*) AS documents, 0::BIGINT AS wrong_pieces, 0::BIGINT AS wrong_tokens, 0::BIGINT AS over_capacity FROM documents WHERE length(text) > 0",
         "p9_found": f"""
             WITH {_SPANS}, members AS (SELECT DISTINCT span, doc_id FROM starts JOIN shared USING (span))
             SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM members a JOIN members b ON a.span = b.span AND a.doc_id < b.doc_id

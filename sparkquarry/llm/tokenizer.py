@@ -171,3 +171,20 @@ def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens int").select(F.col("id").alias(id_col), "tokens")
 
 
+def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """(id, text): the texts that lists of token ids stand for.
+
+    An empty or null list gives the empty text. An id that the vocabulary doesn't have is an
+    error. Bytes that are no UTF-8 (ids cut within a character) come out as replacement
+    characters. Repeated rows and null ids are kept; other columns are not read.
+    """
+    data = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {rank: token for token, rank in encoder_of(data.value).ranks.items()}
+        for batch in batches:
+            texts = [b"".join(map(tokens.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").select(F.col("id").alias(id_col), "text")
