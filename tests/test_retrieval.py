@@ -1,4 +1,3 @@
-import hashlib
 import math
 import random
 from collections import Counter
@@ -104,54 +103,65 @@ def test_bm25_empty_corpus(spark):
     assert bm25_topk(asked(spark, "x"), corpus(spark, []), S).count() == 0
 
 
-def merge_by_dict(dense, bm25, texts, k, rrf_k=60):
-    scores, docs = {}, {}
-    for rank, c in enumerate(dense):
-        key = hashlib.md5(texts[c].encode()).hexdigest()
-        scores[key] = scores.get(key, 0) + 1 / (rrf_k + rank)
-        docs[key] = c
-    for rank, c in enumerate(bm25):
-        key = hashlib.md5(texts[c].encode()).hexdigest()
-        scores[key] = scores.get(key, 0) + 1 / (rrf_k + rank)
-        docs.setdefault(key, c)
-    return [docs[k_] for k_, _ in sorted(scores.items(), key=lambda x: -x[1])[:k]]
+HIT = "query_id long, chunk_id long, rank int, score double"
 
 
-def test_rrf_equals_dictionary(spark):
+def fused(spark, texts, dense, bm25, pool=4):
+    hits = lambda ids: spark.createDataFrame([(0, c, r, 1.0 + c) for r, c in enumerate(ids)], HIT)
+    rows = rrf_merge(asked(spark, "x", pool=pool), hits(dense), hits(bm25), corpus(spark, texts), S).orderBy("merged_rank").collect()
+    return [r["chunk_id"] for r in rows], rows
+
+
+def test_rrf_by_hand(spark):
+    # c stands in both lists, a and d have one text: 1/60 + 1/62 for it, 1/61 + 1/60 for c
+    ids, rows = fused(spark, list("abca"), [0, 2, 3], [2, 1])
+    assert ids == [2, 3, 1] and [r["merged_rank"] for r in rows] == [0, 1, 2]
+    assert [round(r["rrf_score"], 12) for r in rows] == [round(x, 12) for x in (1 / 61 + 1 / 60, 1 / 60 + 1 / 62, 1 / 61)]
+    assert [(r["dense_rank"], r["bm25_rank"]) for r in rows] == [(1, None), (2, None), (None, 1)]  # the last dense hit stands for a text
+    assert [(r["dense_score"], r["bm25_score"]) for r in rows] == [(3.0, None), (4.0, None), (None, 2.0)]
+    # only in BM25: the first hit stands for a text; equal scores keep the order of meeting, dense first
+    assert fused(spark, list("abccb"), [0], [1, 4, 2])[0] == [1, 0, 2]
+    assert fused(spark, list("abcdef"), [5, 4], [3, 2])[0] == [5, 3, 4, 2]
+    assert fused(spark, list("abcdef"), [5, 4], [3, 2], pool=1)[0] == [5]
+    assert fused(spark, list("ab"), [], [])[0] == []
+
+
+def test_rrf_scores_follow_the_formula(spark):
     random.seed(5)
-    texts = [random.choice("pqrstuvw") * 2 for _ in range(12)]
-    lists = [(random.sample(range(12), 6), random.sample(range(12), 6)) for _ in range(30)]
-    rows = lambda side: [(q, c, r, 0.0) for q, both in enumerate(lists) for r, c in enumerate(both[side])]
-    hit = "query_id long, chunk_id long, rank int, score double"
-    merged = rrf_merge(asked(spark, *["x"] * 30, pool=4), spark.createDataFrame(rows(0), hit), spark.createDataFrame(rows(1), hit), corpus(spark, texts), S)
-    got = {}
-    for r in merged.orderBy("query_id", "merged_rank").collect():
-        got.setdefault(r["query_id"], []).append(r["chunk_id"])
-    for q, (d, b) in enumerate(lists):
-        assert got[q] == merge_by_dict(d, b, texts, 4)
-
-
-def greedy(hits, window, texts):
-    seen, out = set(), []
-    for c in hits:
-        ids = [n for n in range(max(0, c - window), c + window + 1) if n in texts and n not in seen]
-        seen.update(ids)
-        out.append(("\n\n".join(texts[n].strip() for n in ids), f"chunk_id {ids[0]}-{ids[-1]}") if ids else (texts[c], None))
-    return out
-
-
-def test_stitch_equals_greedy(spark):
+    texts = [random.choice("pqrstuvw") for _ in range(12)]
+    for _ in range(4):
+        lists = [random.sample(range(12), 6) for _ in range(2)]
+        score = {t: sum(1 / (60 + r) for ids in lists for r, c in enumerate(ids) if texts[c] == t) for t in {texts[c] for ids in lists for c in ids}}
+        ids, rows = fused(spark, texts, *lists, pool=20)
+        assert {texts[r["chunk_id"]]: round(r["rrf_score"], 12) for r in rows} == {t: round(x, 12) for t, x in score.items()}
+        assert len(ids) == len(score) and [r["rrf_score"] for r in rows] == sorted((r["rrf_score"] for r in rows), reverse=True)
+
+
+def stitched(spark, hits, window):
+    """(text, range) of hits among chunks 0-3 of one source and 5-6 of another; 4 is missing."""
+    texts = {i: f" t{i} " for i in (0, 1, 2, 3, 5, 6)}
+    chunks = spark.createDataFrame([(i, t, "s" if i < 4 else "u", "c", "txt") for i, t in texts.items()], CHUNKS)
+    rows = spark.createDataFrame([(0, r, c, texts[c]) for r, c in enumerate(hits)], "query_id long, grounded_rank int, chunk_id long, text string")
+    out = stitch(rows, spark.createDataFrame([(0, window)], "query_id long, win int"), chunks).orderBy("grounded_rank").collect()
+    return [(r["text"].replace("\n\n", "+"), r["stitch_range"]) for r in out]
+
+
+def test_stitch_by_hand(spark):
+    assert stitched(spark, [2, 3, 5], 0) == [(" t2 ", None), (" t3 ", None), (" t5 ", None)]
+    assert stitched(spark, [2, 3, 5], 1) == [("t1+t2+t3", "chunk_id 1-3"), (" t3 ", None), ("t5+t6", "chunk_id 5-6")]  # 3 owns none: 2 and 3 are taken, 4 is missing
+    assert stitched(spark, [2, 3, 5], 2) == [("t0+t1+t2+t3", "chunk_id 0-3"), ("t5", "chunk_id 5-5"), ("t6", "chunk_id 6-6")]  # across sources
+    assert stitched(spark, [2, 3, 5], 6) == [("t0+t1+t2+t3+t5+t6", "chunk_id 0-6"), (" t3 ", None), (" t5 ", None)]
+    assert stitched(spark, [6, 0, 5], 1) == [("t5+t6", "chunk_id 5-6"), ("t0+t1", "chunk_id 0-1"), (" t5 ", None)]
+
+
+def test_each_neighbour_belongs_to_its_best_hit(spark):
     random.seed(9)
-    texts = {i: f" t{i} " for i in range(14) if i not in (4, 9)}
-    chunks = spark.createDataFrame([(i, t, "s", "c", "txt") for i, t in texts.items()], CHUNKS)
-    cases = [(random.sample(sorted(texts), 5), w) for w in (1, 2, 6) for _ in range(12)]
-    hits = spark.createDataFrame([(q, r, c, texts[c]) for q, (h, _) in enumerate(cases) for r, c in enumerate(h)], "query_id long, grounded_rank int, chunk_id long, text string")
-    wins = spark.createDataFrame([(q, w) for q, (_, w) in enumerate(cases)], "query_id long, win int")
-    got = {}
-    for r in stitch(hits, wins, chunks).orderBy("query_id", "grounded_rank").collect():
-        got.setdefault(r["query_id"], []).append((r["text"], r["stitch_range"]))
-    for q, (h, w) in enumerate(cases):
-        assert got[q] == greedy(h, w, texts)
+    for window in (1, 2):
+        hits = random.sample((0, 1, 2, 3, 5, 6), 4)
+        owner = {n: min((r for r, c in enumerate(hits) if abs(c - n) <= window), default=None) for n in (0, 1, 2, 3, 5, 6)}
+        for r, (text, span) in enumerate(stitched(spark, hits, window)):
+            own = [n for n in sorted(owner) if owner[n] == r]
+            assert (text, span) == (("+".join(f"t{n}" for n in own), f"chunk_id {own[0]}-{own[-1]}") if own else (f" t{hits[r]} ", None))
 
 
 def test_stitch_identity(spark):
