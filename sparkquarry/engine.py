@@ -12,7 +12,8 @@ from .config import Settings
 from .operators import catalog, prompting
 from .operators.embedding import Factory, query_vectors
 from .operators.hybrid import Retrieval, Scorer
-from .runtime import materialize
+from .operators.scan import bm25_index, bm25_stats
+from .runtime import materialize, scratch
 
 REQUEST = "query_id long, query string, top_k int, candidate_pool int, stitching_window int, book_filter string, source_filter array<string>"
 #: Turns (system prompt, user message) into an answer.
@@ -23,7 +24,7 @@ NOTHING_FOUND = "No relevant passages were found."
 class Engine:
     """An index of chunks (``schema.chunks``) and unit vectors (``schema.vectors``) that answers questions.
 
-    The tables are written once when the engine is made. ``encoder`` makes vectors of
+    The tables, the BM25 index and its statistics are written once when the engine is made. ``encoder`` makes vectors of
     questions; ``generate`` calls a language model; ``scorer`` re-ranks. Session memory
     keeps the last turns of each session in the driver: answers are small and bounded.
     """
@@ -31,6 +32,9 @@ class Engine:
     def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame, encoder: Factory, settings: Settings = Settings(), generate: Generate | None = None, scorer: Scorer | None = None, templates: prompting.Templates = prompting.Templates()):
         self.spark, self.settings, self.templates = spark, settings, templates
         self.chunks, self.vectors = materialize(chunks, "chunks"), materialize(vectors, "vectors")
+        self.postings = materialize(bm25_index(self.chunks), "postings")
+        terms, corpus = bm25_stats(self.postings, stored=True)
+        self.stats = terms, materialize(corpus, "corpus")
         self.encoder, self.generate, self.scorer = encoder, generate, scorer if settings.rerank else None
         self._memory: dict[str, list[dict[str, str]]] = {}
 
@@ -42,14 +46,19 @@ class Engine:
                 raise ValueError(f"{name} must be from 0 to {most}; 0 means the default")
         row = (0, query, top_k, candidate_pool, stitching_window, book_filter, list(source_filter) if source_filter else None)
         requests = self.spark.createDataFrame([row], REQUEST)
-        return Retrieval(requests, query_vectors(requests, self.encoder), self.chunks, self.vectors, self.settings, self.scorer, stored=True)
+        return Retrieval(requests, query_vectors(requests, self.encoder), self.chunks, self.vectors, self.settings, self.scorer, stored=True, postings=self.postings, stats=self.stats)
 
     def search(self, query: str, **options) -> list[dict[str, Any]]:
         """Hits in rank order; options are top_k, candidate_pool, stitching_window, book_filter, source_filter."""
-        return [r.asDict() for r in self._retrieval(query, **options).search().orderBy("rank").collect()]
+        with scratch():
+            return [r.asDict() for r in self._retrieval(query, **options).search().orderBy("rank").collect()]
 
     def inspect(self, query: str, **options) -> dict[str, Any]:
         """The stages of a search without re-ranking, and the prompt they would give."""
+        with scratch():
+            return self._inspect(query, **options)
+
+    def _inspect(self, query: str, **options) -> dict[str, Any]:
         r = self._retrieval(query, **options)
         stages = r.inspect()
         order = {"terms": "query_id", "dense": "rank", "bm25": "rank", "grounded": "grounded_rank", "stitched": "grounded_rank"}
@@ -62,6 +71,10 @@ class Engine:
         """The answer with its sources; without hits a fixed one that isn't remembered."""
         if self.generate is None:
             raise ValueError("no language model was given")
+        with scratch():
+            return self._ask(query, session_id, mode, **options)
+
+    def _ask(self, query: str, session_id: str, mode: str, **options) -> dict[str, Any]:
         r = self._retrieval(query, **options)
         hits = materialize(r.search(), "hits")
         sources = [row.asDict() for row in prompting.source_payload(hits).orderBy("rank").drop("query_id").collect()]

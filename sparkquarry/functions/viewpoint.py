@@ -36,15 +36,25 @@ def default_rules() -> list[Rule]:
 
 
 def viewpoint(source: Column, text: Column, rules: Sequence[Rule] | None = None) -> Column:
-    """Label of the first rule that applies, else the empty string."""
-    src, txt = F.lower(source), F.lower(text)
-    out = F.lit("")
-    for label, phrases, in_source, in_text in reversed(rules or default_rules()):
-        hit = F.lit(False)
-        for p in phrases:
-            if in_source:
-                hit = hit | F.contains(src, F.lit(p))
-            if in_text:
-                hit = hit | F.contains(txt, F.lit(p))
-        out = F.when(hit, F.lit(label)).otherwise(out)
-    return out
+    """Label of the first rule that applies, else the empty string; a null source or text holds no phrase.
+
+    The rules are one chain of conditions over a pair of lower-cased texts, which are made
+    once a row: a lambda's variable is a value, where a column's expression would be copied
+    into every condition.
+    """
+
+    def label(pair: Column) -> Column:
+        out = None
+        for name, phrases, in_source, in_text in rules or default_rules():
+            hit = None
+            for p in phrases:
+                for used, part in ((in_source, "source"), (in_text, "text")):
+                    if used:
+                        own = F.contains(pair[part], F.lit(p))
+                        hit = own if hit is None else hit | own
+            if hit is not None:
+                out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+        return F.lit("") if out is None else out.otherwise(F.lit(""))
+
+    low = F.struct(F.lower(F.coalesce(source, F.lit(""))).alias("source"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    return F.get(F.transform(F.array(low), label), F.lit(0))

@@ -69,8 +69,10 @@ def number(chunks: DataFrame, start: int = 0) -> DataFrame:
     """Adds chunk_id, dense from ``start`` by (doc_id, part).
 
     Only (doc_id, number of chunks) is ordered: ranges of documents are sorted in parallel
-    and counted, so no task holds more than one range, and no text moves for the numbering.
+    and counted, so no task holds more than one range. The chunks are written first, as
+    they are read twice and folding them is the costly part.
     """
+    chunks = materialize(chunks, "chunks")
     sizes = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     # written, so that both uses see the same ranges
     ranged = materialize(sizes.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()), "ranges")

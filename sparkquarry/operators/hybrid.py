@@ -6,19 +6,32 @@ from collections.abc import Callable
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import matched_terms, strip
 from ..runtime import materialize
 from .requests import normalise
-from .scan import bm25_topk, dense_topk
+from .scan import bm25_index, bm25_stats, bm25_topk, dense_topk
 
+#: Rows that are sent to all tasks to fetch chunks by; more are joined by a shuffle.
+SENT = 500_000
 #: Decimals by which fused scores are ranked.
 RRF_DECIMALS = 12
 
 
+def fetch(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks of ``ids`` (chunk_id), fetched in one reading of the table.
+
+    What asks is bounded by questions x pool and is counted: the ids are sent to the table,
+    which isn't shuffled; only more than SENT of them are joined by a shuffle.
+    """
+    asked = ids.select("chunk_id").distinct()
+    few = asked.count() <= SENT
+    return chunks.join(F.broadcast(asked) if few else asked, "chunk_id", "left_semi")
+
+
 def rrf_merge(requests: DataFrame, dense: DataFrame, bm25: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
     """(query_id, merged_rank, chunk_id, rrf_score, dense_rank, dense_score, bm25_rank, bm25_score).
 
@@ -71,6 +84,11 @@ def ground(merged: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.withColumn("grounded_rank", F.row_number().over(w) - 1).drop("terms")
 
 
+def around(chunk_id: Column, window: Column) -> Column:
+    """The ids within ``window`` of a chunk."""
+    return F.sequence(F.greatest(F.lit(0), chunk_id - window), chunk_id + window)
+
+
 def stitch(hits: DataFrame, windows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Adds stitch_range and replaces text by the texts of the neighbours a hit owns.
 
@@ -79,7 +97,7 @@ def stitch(hits: DataFrame, windows: DataFrame, chunks: DataFrame) -> DataFrame:
     (query_id, win). One row a hit, always.
     """
     hits = hits.join(windows.select("query_id", "win"), "query_id")
-    spread = hits.filter("win > 0 AND chunk_id IS NOT NULL").select("query_id", "grounded_rank", F.explode(F.sequence(F.greatest(F.lit(0), F.col("chunk_id") - F.col("win")), F.col("chunk_id") + F.col("win"))).alias("nid"))
+    spread = hits.filter("win > 0 AND chunk_id IS NOT NULL").select("query_id", "grounded_rank", F.explode(around(F.col("chunk_id"), F.col("win"))).alias("nid"))
     owned = spread.groupBy("query_id", "nid").agg(F.min("grounded_rank").alias("grounded_rank"))
     parts = owned.join(chunks.select(F.col("chunk_id").alias("nid"), strip(F.col("text")).alias("part")), "nid")
     joined = parts.groupBy("query_id", "grounded_rank").agg(F.array_sort(F.collect_list(F.struct("nid", "part"))).alias("parts"))
@@ -111,14 +129,18 @@ class Retrieval:
     """The stages of one search over many questions; each is planned when it is asked for.
 
     The chunk table is read by several stages and is written once to the shared folder; an
-    index that is stored as a table already can be given as ``stored``.
+    index that is stored as a table already can be given as ``stored``, with the
+    ``bm25_index`` of its chunks as ``postings`` and their ``bm25_stats`` as ``stats``. The
+    hits of both scans are written before they are fused: few rows, whose chunks are
+    fetched once.
     """
 
-    def __init__(self, requests: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings, scorer: Scorer | None = None, stored: bool = False):
+    def __init__(self, requests: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings, scorer: Scorer | None = None, stored: bool = False, postings: DataFrame | None = None, stats: tuple[DataFrame, DataFrame] | None = None):
         self.requests = normalise(requests, settings)
         self.query_vectors, self.vectors = query_vectors, vectors
         self.settings, self.scorer = settings, scorer
         self._given, self._stored = chunks, stored
+        self._postings, self._stats = postings, stats
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -130,15 +152,27 @@ class Retrieval:
 
     @cached_property
     def bm25(self) -> DataFrame:
-        return bm25_topk(self.requests, self.chunks, self.settings)
+        postings = self._postings if self._postings is not None else materialize(bm25_index(self.chunks), "postings")
+        return bm25_topk(self.requests, postings, self.settings, self._stats)
+
+    @cached_property
+    def _lists(self) -> tuple[DataFrame, DataFrame]:
+        both = materialize(self.dense.withColumn("dense", F.lit(True)).unionByName(self.bm25.withColumn("dense", F.lit(False))), "hits")
+        return both.filter("dense").drop("dense"), both.filter(~F.col("dense")).drop("dense")
+
+    @cached_property
+    def _fetched(self) -> DataFrame:
+        """The chunks that are hits of any question."""
+        dense, bm25 = self._lists
+        return materialize(fetch(self.chunks, dense.select("chunk_id").unionByName(bm25.select("chunk_id"))), "fetched")
 
     @cached_property
     def merged(self) -> DataFrame:
-        return rrf_merge(self.requests, self.dense, self.bm25, self.chunks, self.settings)
+        return rrf_merge(self.requests, *self._lists, self._fetched, self.settings)
 
     @cached_property
     def filtered(self) -> DataFrame:
-        return apply_filters(self.merged.join(self.chunks, "chunk_id"), self.requests)
+        return apply_filters(self.merged.join(self._fetched, "chunk_id"), self.requests)
 
     @cached_property
     def grounded(self) -> DataFrame:
@@ -146,12 +180,14 @@ class Retrieval:
 
     @cached_property
     def top(self) -> DataFrame:
-        return self.grounded.join(self.requests.select("query_id", "top_k"), "query_id").filter("grounded_rank < top_k").drop("top_k")
+        best = self.grounded.join(self.requests.select("query_id", "top_k"), "query_id").filter("grounded_rank < top_k").drop("top_k")
+        return materialize(best, "top")
 
     @cached_property
     def stitched(self) -> DataFrame:
-        # the hits are used twice, for their windows and for themselves
-        return stitch(materialize(self.top, "top"), self.requests.select("query_id", "win"), self.chunks)
+        windows = self.requests.select("query_id", "win")
+        near = self.top.join(windows, "query_id").filter("chunk_id IS NOT NULL").select(F.explode(around(F.col("chunk_id"), F.col("win"))).alias("chunk_id"))
+        return stitch(self.top, windows, fetch(self.chunks.select("chunk_id", "text"), near))
 
     def search(self) -> DataFrame:
         """(query_id, rank, chunk_id, source, chapter, file_type, text, scores, overlap_terms, stitch_range)."""

@@ -13,8 +13,8 @@ from ..functions.viewpoint import viewpoint
 from ..operators import catalog, chunking, prompting
 from ..operators.hybrid import Retrieval
 from ..operators.requests import normalise
-from ..operators.scan import bm25_stats
-from ..runtime import table
+from ..operators.scan import bm25_index, bm25_stats
+from ..runtime import materialize, table
 from ..schema import chunks as chunk_table
 from ..schema import vectors as vector_table
 
@@ -58,12 +58,16 @@ def bm25_topk(spark, d):
     return _hits(retrieval(spark, d).bm25)
 
 
+def _index(spark, d):
+    return materialize(bm25_index(chunks(spark, d)), "postings")
+
+
 def bm25_terms(spark, d):
-    return bm25_stats(chunks(spark, d))[0].select("term", "df", F.round("idf_raw", 6).alias("idf_raw"))
+    return bm25_stats(_index(spark, d))[0].select("term", "df", F.round("idf_raw", 6).alias("idf_raw"))
 
 
 def bm25_corpus(spark, d):
-    return bm25_stats(chunks(spark, d))[1].select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+    return bm25_stats(_index(spark, d))[1].select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
 def rrf_fusion(spark, d):

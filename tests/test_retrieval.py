@@ -10,7 +10,7 @@ from sparkquarry.config import Settings
 from sparkquarry.functions import text as T
 from sparkquarry.operators.hybrid import Retrieval, apply_filters, ground, rerank, rrf_merge, stitch
 from sparkquarry.operators.requests import normalise
-from sparkquarry.operators.scan import bm25_topk, dense_topk
+from sparkquarry.operators.scan import bm25_index, bm25_topk, dense_topk
 from sparkquarry.schema import chunks as chunk_table
 from sparkquarry.schema import vectors as vector_table
 
@@ -94,13 +94,13 @@ def test_bm25_against_formula(spark):
     for query in ("a a b", "zzz", "G f, c"):
         want = okapi(texts, query)
         order = sorted(range(len(texts)), key=lambda i: (-round(want[i], 9), -i))[:7]
-        got = bm25_topk(asked(spark, query, pool=7), corpus(spark, texts), S).orderBy("rank").collect()
+        got = bm25_topk(asked(spark, query, pool=7), bm25_index(corpus(spark, texts)), S).orderBy("rank").collect()
         assert [r["chunk_id"] for r in got] == order
         assert all(abs(r["score"] - want[r["chunk_id"]]) < 1e-9 for r in got)
 
 
 def test_bm25_empty_corpus(spark):
-    assert bm25_topk(asked(spark, "x"), corpus(spark, []), S).count() == 0
+    assert bm25_topk(asked(spark, "x"), bm25_index(corpus(spark, [])), S).count() == 0
 
 
 HIT = "query_id long, chunk_id long, rank int, score double"
