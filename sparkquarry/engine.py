@@ -14,6 +14,8 @@ from .operators.embedding import Factory, query_vectors
 from .operators.hybrid import Retrieval, Scorer
 from .operators.scan import bm25_index, bm25_stats
 from .runtime import materialize, scratch
+from .schema import vectors as unit_vectors
+from .sources.files import require
 
 REQUEST = "query_id long, query string, top_k int, candidate_pool int, stitching_window int, book_filter string, source_filter array<string>"
 #: Turns (system prompt, user message) into an answer.
@@ -32,12 +34,28 @@ class Engine:
     def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame, encoder: Factory, settings: Settings = Settings(), generate: Generate | None = None, scorer: Scorer | None = None, templates: prompting.Templates = prompting.Templates()):
         self.spark, self.settings, self.templates = spark, settings, templates
         self.chunks, self.vectors = materialize(chunks, "chunks"), materialize(vectors, "vectors")
+        self._check_dimensions(encoder)
         self.postings = materialize(bm25_index(self.chunks), "postings")
         terms, corpus = bm25_stats(self.postings, stored=True)
         self.stats = terms, materialize(corpus, "corpus")
         self.encoder, self.generate, self.scorer = encoder, generate, scorer if settings.rerank else None
         self._memory: dict[str, list[dict[str, str]]] = {}
 
+    @classmethod
+    def open(cls, spark: SparkSession, index: str, encoder: Factory, **options) -> Engine:
+        """The engine over what ``streaming.ingest`` wrote; a missing table is an error that names it."""
+        for name in ("chunks", "vectors"):
+            require(spark, f"{index}/{name}", name)
+        chunks = spark.read.parquet(f"{index}/chunks").select("chunk_id", "text", "source", "chapter", "file_type")
+        return cls(spark, chunks, unit_vectors(spark.read.parquet(f"{index}/vectors")), encoder, **options)
+
+    def _check_dimensions(self, encoder: Factory) -> None:
+        """Refuses vectors of several lengths, and an encoder that makes others than the index holds, before any search."""
+        have = sorted(r["dim"] for r in catalog.vector_dimensions(self.vectors, "vec").collect())
+        makes = len(encoder()(["dimension"])[0])
+        if have and have != [makes]:
+            raise ValueError(f"the index has vectors of {have} numbers, the encoder makes {makes}")
+
     def _retrieval(self, query: str, top_k=None, candidate_pool=None, stitching_window=None, book_filter=None, source_filter: Sequence[str] | None = None) -> Retrieval:
         if not query or not query.strip():
             raise ValueError("the question is blank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
+
 
 def list_sources(chunks: DataFrame) -> DataFrame:
     """(source) distinct, in order."""
@@ -89,11 +91,14 @@ def builds(log: DataFrame) -> DataFrame:
     return log.select(F.date_format(date, "yyyy-MM-dd HH:mm:ss").alias("built_at"), "total_chunks", "total_files", F.lower("model").alias("model"), F.coalesce(F.lower(F.trim("status")), F.lit("unknown")).alias("status"))
 
 
-def info(chunks: DataFrame, vectors: DataFrame, log: DataFrame) -> DataFrame:
-    """(index_vectors, index_dim, cached_sources, last_build) as one row."""
+def info(chunks: DataFrame, vectors: DataFrame, log: DataFrame, settings: Settings) -> DataFrame:
+    """One row: vectors and their length, distinct sources, the newest build and the settings of retrieval."""
     v = vectors.agg(F.count(F.lit(1)).alias("index_vectors"), F.max(F.size("vec")).alias("index_dim"))
     c = chunks.agg(F.countDistinct("source").alias("cached_sources"))
-    return v.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(builds(log).agg(F.max("built_at").alias("last_build"))))
+    build = builds(log).agg(F.max(F.struct("built_at", "total_chunks", "total_files", "model", "status")).alias("b"))
+    build = build.select(F.col("b.built_at").alias("last_build"), "b.total_chunks", "b.total_files", "b.model", "b.status")
+    own = [F.lit(getattr(settings, name)).alias(name) for name in ("top_k", "candidate_pool", "stitching_window", "rrf_k", "rerank")]
+    return v.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(build)).select("*", *own)
 
 
 def unprocessed(files: DataFrame, processed: DataFrame) -> DataFrame:

@@ -84,6 +84,12 @@ def source_payload(results: DataFrame) -> DataFrame:
     return results.select("query_id", "rank", "source", "chapter", F.coalesce("stitch_range", F.lit("")).alias("stitch_range"), F.round(score, 4).alias("score"))
 
 
+def sources_json(payload: DataFrame) -> DataFrame:
+    """(query_id, sources): the source list of each answer as a JSON array in rank order, as a service returns it."""
+    rows = payload.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "chapter", "stitch_range", "score"))).alias("s"))
+    return rows.select("query_id", F.to_json(F.transform("s", lambda x: x.dropFields("rank"))).alias("sources"))
+
+
 def last_turns(turns: DataFrame, settings: Settings) -> DataFrame:
     """(session_id, turn, query, response, place): the last turns of every session; repeated rows count once, a null session is "default"."""
     rows = turns.select(F.coalesce("session_id", F.lit("default")).alias("session_id"), "turn", "query", "response").distinct()

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.text import intent, query_terms
+from ..functions.text import html_to_text, intent, query_terms
 from ..functions.viewpoint import viewpoint
 from ..operators import catalog, chunking, prompting
+from ..operators.embedding import embed
 from ..operators.hybrid import Retrieval
 from ..operators.requests import normalise
 from ..operators.scan import bm25_index, bm25_stats
@@ -92,6 +94,40 @@ def search_hybrid(spark, d):
     return _results(retrieval(spark, d).search())
 
 
+def reranked(spark, d):
+    """The search with a scorer that likes short texts: the seam of a cross-encoder, with scores that SQL can tell."""
+    r = retrieval(spark, d)
+    r.scorer = lambda queries, texts: -texts.str.len().astype("float64")
+    return r.search().select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.coalesce("rerank_score", F.lit(0.0)).alias("rerank_score"))
+
+
+def inspected(spark, d):
+    """The stages of every search as one table: five hits of each list, then the grounded and stitched hits."""
+    stages = retrieval(spark, d).inspect()
+    rows = lambda name, rank, span: stages[name].select("query_id", F.lit(name).alias("stage"), F.col(rank).cast("long").alias("rank"), "chunk_id", span.alias("stitch_range"))
+    none = F.lit("")
+    return rows("dense", "rank", none).unionByName(rows("bm25", "rank", none)).unionByName(rows("grounded", "grounded_rank", none)).unionByName(rows("stitched", "grounded_rank", F.coalesce("stitch_range", none)))
+
+
+def sources_json(spark, d):
+    return prompting.sources_json(prompting.source_payload(retrieval(spark, d).search()))
+
+
+def html_text(spark, d):
+    """The answers without markup."""
+    return table(spark, d, "query_response").select("response_id", html_to_text(F.coalesce("response", F.lit(""))).alias("text"))
+
+
+def embedded(spark, d):
+    """Vectors of all questions by a small encoder (counts of vowels), normalised: the seam of a real one."""
+    rows = embed(table(spark, d, "query_request").select("request_id", "query"), vowels, "query")
+    return rows.select("request_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), " ").alias("vector"))
+
+
+def vowels():
+    return lambda texts: np.array([[t.count(c) for c in "aeiou"] for t in texts], np.float64)
+
+
 def requests_normalised(spark, d):
     rows = table(spark, d, "query_request").withColumnRenamed("request_id", "query_id")
     return normalise(rows, SETTINGS).select("query_id", "query", "top_k", "pool", "win", F.coalesce("book_filter", F.lit("")).alias("book_filter"), F.coalesce(F.size("source_filter"), F.lit(0)).alias("n_sources"))
@@ -178,7 +214,7 @@ def builds(spark, d):
 
 
 def index_info(spark, d):
-    return catalog.info(chunks(spark, d), vectors(spark, d), table(spark, d, "manifest"))
+    return catalog.info(chunks(spark, d), vectors(spark, d), table(spark, d, "manifest"), SETTINGS)
 
 
 def files_unprocessed(spark, d):
@@ -204,7 +240,7 @@ def documents_rejected(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        search_hybrid, dense_topk, bm25_topk, bm25_terms, bm25_corpus, rrf_fusion, filtered_hits, grounding, requests_normalised, query_terms_all, intents, viewpoints,
+        search_hybrid, reranked, inspected, sources_json, html_text, embedded, dense_topk, bm25_topk, bm25_terms, bm25_corpus, rrf_fusion, filtered_hits, grounding, requests_normalised, query_terms_all, intents, viewpoints,
         source_payload, session_last_turns, session_memory, sources_list, source_chunks, source_distribution, file_type_distribution, id_gaps, vector_coverage, vector_dimensions,
         chunk_previews, failures_merged, failure_reasons, manifest, builds, index_info, files_unprocessed, duplicate_texts, chunk_documents, chunk_numbers, documents_rejected,
     )

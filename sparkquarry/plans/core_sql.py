@@ -140,6 +140,13 @@ def viewpoint_sql(source: str, body: str) -> str:
     return case(source, rules, "")
 
 
+def html_sql(c: str) -> str:
+    out = rf"regexp_replace(regexp_replace({c}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = f"replace({out}, {text(entity)}, {text(char)})"
+    return out
+
+
 def prompt_sql(mode: str) -> str:
     t = Templates()
     if mode == "explorer":
@@ -203,6 +210,23 @@ def oracle_sql() -> dict[str, str]:
         "grounding": query((*TO_MERGED, FILTERED, GROUNDED), "SELECT query_id, grounded_rank, chunk_id, overlap, array_to_string(overlap_terms, ' ') AS terms FROM grounded"),
         "search_hybrid": query(TO_RESULTS, "SELECT query_id, rank, chunk_id, source, chapter, file_type, round(rrf_score, 9) AS rrf_score, overlap, stitch_range, text FROM results"),
         "source_payload": query(TO_RESULTS, "SELECT query_id, rank, source, chapter, stitch_range, round(coalesce(nullif(overlap, 0), nullif(rrf_score, 0), nullif(dense_score, 0), 0.0), 4) AS score FROM results"),
+        "reranked": query(
+            TO_RESULTS,
+            "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, overlap DESC, rank) - 1 AS rank, chunk_id, coalesce(score, 0.0) AS rerank_score"
+            " FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY query_id) > 1 THEN CAST(-length(text) AS DOUBLE) END AS score FROM results)",
+        ),
+        "inspected": query(
+            TO_RESULTS,
+            "SELECT query_id, 'dense' AS stage, rank, chunk_id, '' AS stitch_range FROM dense WHERE rank < 5 UNION ALL SELECT query_id, 'bm25', rank, chunk_id, '' FROM bm25 WHERE rank < 5"
+            " UNION ALL SELECT query_id, 'grounded', grounded_rank, chunk_id, '' FROM top UNION ALL SELECT query_id, 'stitched', rank, chunk_id, stitch_range FROM results",
+        ),
+        "sources_json": query(
+            TO_RESULTS,
+            "SELECT query_id, CAST(to_json(list({'source': source, 'chapter': chapter, 'stitch_range': stitch_range, 'score': round(coalesce(nullif(overlap, 0), nullif(rrf_score, 0), nullif(dense_score, 0), 0.0), 4)} ORDER BY rank)) AS VARCHAR) AS sources FROM results GROUP BY query_id",
+        ),
+        "html_text": f"SELECT response_id, {html_sql("coalesce(response, '')")} AS text FROM query_response",
+        "embedded": "SELECT request_id, array_to_string(list_transform(v, lambda x: CAST(round(CAST(CAST(x / greatest(sqrt(list_inner_product(v, v)), 1e-30) AS FLOAT) AS DOUBLE), 4) AS VARCHAR)), ' ') AS vector"
+        " FROM (SELECT request_id, [CAST(length(q) - length(replace(q, c, '')) AS DOUBLE) FOR c IN ['a', 'e', 'i', 'o', 'u']] AS v FROM (SELECT request_id, coalesce(query, '') AS q FROM query_request))",
         "requests_normalised": query((REQUESTS,), "SELECT query_id, query, top_k, pool, win, coalesce(book_filter, '') AS book_filter, CAST(coalesce(len(source_filter), 0) AS INT) AS n_sources FROM requests"),
         "query_terms_all": f"SELECT request_id, array_to_string({terms("coalesce(query, '')")}, ' ') AS terms FROM query_request",
         "intents": f"SELECT request_id, {intent_sql("coalesce(query, '')")} AS intent FROM query_request",
@@ -227,7 +251,12 @@ def oracle_sql() -> dict[str, str]:
         "failure_reasons": query((FAILURES,), "SELECT coalesce(nullif(regexp_replace(lower(trim(error)), '\\.+$', ''), ''), 'unknown') AS reason, count(*) AS n FROM failures GROUP BY 1"),
         "manifest": query((CHUNKS,), "SELECT (SELECT count(*) FROM chunks) AS total_chunks, (SELECT count(DISTINCT file_name) FROM processed_files) AS total_files, 'lore-encoder-m3' AS model, 'healthy' AS status"),
         "builds": query((BUILDS,), "SELECT * FROM builds"),
-        "index_info": query((CHUNKS, VECTORS, BUILDS), "SELECT (SELECT count(*) FROM vectors) AS index_vectors, (SELECT CAST(max(len(vec)) AS INT) FROM vectors) AS index_dim, (SELECT count(DISTINCT source) FROM chunks) AS cached_sources, (SELECT max(built_at) FROM builds) AS last_build"),
+        "index_info": query(
+            (CHUNKS, VECTORS, BUILDS),
+            "SELECT (SELECT count(*) FROM vectors) AS index_vectors, (SELECT CAST(max(len(vec)) AS INT) FROM vectors) AS index_dim, (SELECT count(DISTINCT source) FROM chunks) AS cached_sources,"
+            f" built_at AS last_build, total_chunks, total_files, model, status, {S.top_k} AS top_k, {S.candidate_pool} AS candidate_pool, {S.stitching_window} AS stitching_window, {S.rrf_k} AS rrf_k, {str(S.rerank).lower()} AS rerank"
+            " FROM (SELECT * FROM builds ORDER BY built_at DESC NULLS LAST, total_chunks DESC, total_files DESC, model DESC, status DESC LIMIT 1)",
+        ),
         "files_unprocessed": "SELECT DISTINCT file_name FROM failure_report WHERE file_name NOT IN (SELECT file_name FROM processed_files)",
         "duplicate_texts": query((CHUNKS,), "SELECT md5(text) AS key, count(*) AS n, min(chunk_id) AS first_chunk FROM chunks GROUP BY 1 HAVING count(*) > 1"),
         "chunk_documents": "WITH RECURSIVE " + FOLD + " SELECT doc_id, part, text FROM parts",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
+import posixpath
+import re
+import zipfile
 from collections.abc import Callable, Iterator, Mapping
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +16,11 @@ from pyspark.sql import functions as F
 
 #: Suffixes taken in.
 SUFFIXES = ("pdf", "epub", "azw3", "cbr", "cbz", "txt")
+#: The same as a pattern of file names, so that other files are never read.
+GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in SUFFIXES) + "}"
+#: A PDF whose pages hold less text is read by OCR, at most so many pages of it; of a comic archive so many images are.
+LEAST_TEXT, OCR_PAGES, OCR_IMAGES = 200, 60, 50
+IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".gif", ".bmp")
 METADATA = "chunk_id long, text string, source string, chapter string, file_type string"
 #: Text of one file's bytes; raises where it can't be read.
 Extractor = Callable[[bytes], str]
@@ -22,9 +32,7 @@ def txt(data: bytes) -> str:
 
 
 def epub(data: bytes) -> str:
-    """Text of the HTML items of an EPUB archive in the order of their names."""
-    import io
-    import zipfile
+    """Text of the HTML items of an EPUB archive in the order of its manifest."""
     from html.parser import HTMLParser
 
     class Text(HTMLParser):
@@ -45,20 +53,61 @@ def epub(data: bytes) -> str:
 
     parts = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))):
+        for name in _epub_items(z):
             parser = Text()
             parser.feed(z.read(name).decode("utf-8", "ignore"))
             parts.append("".join(parser.out))
     return "\n".join(parts)
 
 
+def _epub_items(z: zipfile.ZipFile) -> list[str]:
+    """The HTML items in the order of the package's manifest; by name where it can't be read."""
+    pages = sorted(n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm")))
+    package = next((n for n in sorted(z.namelist()) if n.lower().endswith(".opf")), None)
+    if package is None:
+        return pages
+    order = {}
+    for item in re.findall(r"<(?:\w+:)?item\b[^>]*>", z.read(package).decode("utf-8", "ignore")):
+        if href := re.search(r"""\bhref\s*=\s*["']([^"'#]+)""", item):
+            order.setdefault(posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(href.group(1)))), len(order))
+    return sorted(pages, key=lambda n: (order.get(n, len(order)), n))
+
+
+def pdf(pages: Callable[[bytes], list[str]], ocr: Callable[[bytes, int], list[str]]) -> Extractor:
+    """An extractor of PDF files from plugins: texts of all pages, and OCR of the first pages.
+
+    OCR is used where the pages hold under LEAST_TEXT characters or can't be read, and for
+    at most OCR_PAGES pages.
+    """
+
+    def extract(data: bytes) -> str:
+        try:
+            text = "\n".join(pages(data))
+        except Exception:  # a damaged text layer is no reason to give the file up
+            text = ""
+        return text if len(text.strip()) >= LEAST_TEXT else "\n".join(ocr(data, OCR_PAGES)[:OCR_PAGES])
+
+    return extract
+
+
+def comic(ocr: Callable[[bytes], str]) -> Extractor:
+    """An extractor of zipped comic archives from an OCR plugin: the first OCR_IMAGES images by path."""
+
+    def extract(data: bytes) -> str:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            images = sorted(n for n in z.namelist() if n.lower().endswith(IMAGES))[:OCR_IMAGES]
+            return "\n".join(ocr(z.read(n)) for n in images)
+
+    return extract
+
+
 #: Formats read without a plugin; pdf, azw3, cbr and cbz need one that calls a converter or OCR.
 EXTRACTORS: dict[str, Extractor] = {"txt": txt, "epub": epub}
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name, suffix, content) of the supported files of a folder, not of its subfolders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", GLOB).load(folder)
     return with_names(files)
 
 
@@ -69,7 +118,7 @@ def with_names(files: DataFrame) -> DataFrame:
 
 
 def extract(files: DataFrame, extractors: Mapping[str, Extractor] | None = None) -> DataFrame:
-    """(file_name, text, error): one of text and error for each file; a failing file never fails the job."""
+    """(file_name, suffix, text, error): one of text and error for each file; a failing file never fails the job."""
     use = {**EXTRACTORS, **(extractors or {})}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,14 +135,20 @@ def extract(files: DataFrame, extractors: Mapping[str, Extractor] | None = None)
                 except Exception as e:
                     text, error = None, str(e) or type(e).__name__
                 texts.append(text), errors.append(error)
-            yield pd.DataFrame({"file_name": pdf["file_name"], "text": texts, "error": errors})
+            yield pd.DataFrame({"file_name": pdf["file_name"], "suffix": pdf["suffix"], "text": texts, "error": errors})
 
-    return files.mapInPandas(run, "file_name string, text string, error string")
+    return files.mapInPandas(run, "file_name string, suffix string, text string, error string")
 
 
 def read_metadata_json(spark: SparkSession, path: str) -> DataFrame:
     """Chunks stored as a JSON array; a row without an id is named by its position in the file."""
-    if not os.path.exists(path.removeprefix("file://")) and "://" not in path:
-        raise FileNotFoundError(f"metadata not found at {path}: build the index or copy it there")
+    require(spark, path, "metadata")
     rows = spark.read.schema(METADATA).json(path, multiLine=True)
     return rows.withColumn("pos", F.monotonically_increasing_id())
+
+
+def require(spark: SparkSession, path: str, label: str) -> None:
+    """An error that says what to do where a table or file of an index is missing, on any file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(f"{label} not found at {path}: build the index or copy it there")
