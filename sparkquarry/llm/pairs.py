@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ SAMPLE, SHORT, LONG, LEAST_TEXTS = 600, 40, 20_000, 10
 OTHER = "other"
 #: Posterior odds (nats) below which a language is taken as unknown.
 SURE = 6.0
+#: The classifier of refusals is fitted on about so many responses, drawn by hash. It needs so many known n-grams in a
+#: sentence, and odds (nats) of a sentence that declines against any other.
+REFUSAL_SAMPLE, LEAST_GRAMS, DECLINES = 8_000, 6, 25.0
 #: Words whose scores a worker remembers.
 REMEMBERED = 100_000
 #: Words outside quotations that tell the language of a response; with fewer its quotations count too.
@@ -80,16 +84,21 @@ _ASKED = re.compile(r"(?:\b(?:answer|reply|respond|write|réponds?|répondez|ant
 _OPENED_ITEM = re.compile(r"(?:[.!?…:;”)»]\s+|\n\s*)(?:\d{1,3}[.)]|[-*•–])\s*$")
 
 
+_NEITHER = re.compile(r"[\W_]+")
+#: Control and format characters but line breaks and tabs.
+_UNSEEN = regex.compile(r"[[\p{Cf}\p{Cc}]--[\n\t]]+", regex.V1)
+
+
 def letters(text: str) -> str:
     """Letters and digits only, lower case."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+    return _NEITHER.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
 def bare(text: str | None) -> str:
     """The response without reasoning blocks, markup, control and zero-width characters."""
     text = _TAG.sub(" ", _THINK.sub(" ", text or ""))
     text = html.unescape(text) if "&" in text else text
-    return "".join(c for c in text if c in "\n\t" or unicodedata.category(c) not in ("Cf", "Cc")).strip().strip("*_`~#").strip()
+    return _UNSEEN.sub("", text).strip().strip("*_`~#").strip()
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -135,9 +144,12 @@ class Languages:
     def of(self, text: str) -> tuple[str | None, float]:
         """(language, odds in nats to the next); None where it isn't sure, OTHER where most letters are of no language known."""
         if not text.isascii():
-            own = [c for c in text.casefold() if c.isalpha()]
-            if sum(c not in self.alphabet for c in own) > len(own) / 2 and self.alphabet:
-                return OTHER, math.inf
+            folded = text.casefold()
+            strange = {c for c in set(folded) if c.isalpha() and c not in self.alphabet}
+            if strange and self.alphabet:
+                own = [c for c in folded if c.isalpha()]
+                if sum(c in strange for c in own) > len(own) / 2:
+                    return OTHER, math.inf
         if len(self.names) < 2:
             return None, 0.0
         scores = [0.0] * len(self.names)
@@ -216,7 +228,42 @@ class Endings:
         return (ends - own + 0.02) / (n - own + 1)
 
 
-def classify(query: str | None, response: str | None, languages: Languages, endings: Endings) -> str | None:
+class Refusals:
+    """Naive Bayes of sentences that decline against all others, over words, pairs and triples of words.
+
+    It is fitted on a bounded sample of responses, of which the phrases label those that
+    decline; what it learns are the other ways of saying so that stand beside them.
+    """
+
+    def __init__(self, samples: list[tuple[str | None, str | None]]):
+        declined: Counter[str] = Counter()
+        others: Counter[str] = Counter()
+        for query, response in samples:
+            text = bare(response)
+            own = _outside(query or "", text)
+            into = declined if refuses(query or "", text) else others
+            for s in _SENTENCE.findall(own):
+                into.update(set(self._grams(s)))
+        kept = [g for g in declined.keys() | others.keys() if declined[g] + others[g] > 1]
+        a, b = sum(declined[g] for g in kept) + len(kept) + 1, sum(others[g] for g in kept) + len(kept) + 1
+        self.logs = {g: math.log((declined[g] + 1) / a) - math.log((others[g] + 1) / b) for g in kept}
+        self.fitted = len(declined) > 0
+
+    @staticmethod
+    def _grams(sentence: str) -> Iterator[str]:
+        words = _LETTERS.findall(sentence.lower())
+        for n in (1, 2, 3):
+            for i in range(len(words) - n + 1):
+                yield " ".join(words[i : i + n])
+
+    def declines(self, sentence: str) -> bool:
+        if not self.fitted:
+            return False
+        found = [x for g in self._grams(sentence) if (x := self.logs.get(g)) is not None]
+        return len(found) >= LEAST_GRAMS and sum(found) >= DECLINES
+
+
+def classify(query: str | None, response: str | None, languages: Languages, endings: Endings, refusals: Refusals | None = None) -> str | None:
     """The defect of a pair, or None."""
     text = bare(response)
     left = letters(text)
@@ -226,7 +273,7 @@ def classify(query: str | None, response: str | None, languages: Languages, endi
     if asked and (asked in left):
         if left.replace(asked, " ").replace(" ", "") in LABELS | {""} or all(p in LABELS for p in left.replace(asked, " ").split()):
             return "copied"
-    if refuses(query or "", text):
+    if refuses(query or "", text, refusals):
         return "refusal"
     wanted = requested_language(query or "", languages)
     if wanted:
@@ -252,17 +299,21 @@ def requested_language(query: str, languages: Languages) -> str | None:
     return languages.of(re.sub(r"\([^()]*\)", " ", query))[0]
 
 
-def refuses(query: str, text: str) -> bool:
-    """Whether nothing but refusals and courtesies is said outside quotations."""
+def _outside(query: str, text: str) -> str:
+    """The text without quotations and without the prompt."""
     own = text
     if query.strip():
         own = own.replace(query.strip(), " ")
-    own = _QUOTED.sub(" ", own)
+    return _QUOTED.sub(" ", own)
+
+
+def refuses(query: str, text: str, refusals: Refusals | None = None) -> bool:
+    """Whether nothing but refusals and courtesies is said outside quotations; by phrases, and by the classifier where one is given."""
     declined = False
-    for s in _SENTENCE.findall(own):
+    for s in _SENTENCE.findall(_outside(query, text)):
         if len(letters(s)) < 2 or s.strip().lower().rstrip(":") in ("you ask", "you asked", "the question is", "question", "q", "a"):
             continue
-        if _REFUSAL.search(s):
+        if _REFUSAL.search(s) or (refusals is not None and refusals.declines(s)):
             declined = True
         elif not _COURTESY.search(s) and not (len(s.split()) <= 2):
             return False
@@ -305,7 +356,10 @@ def defects(df: DataFrame, labelled: DataFrame, id_col: str = "response_id", que
     for code, text in zip(drawn["lang"], drawn["text"]):
         samples.setdefault(code, []).append(text)
     samples = {code: own for code, own in samples.items() if len(own) >= LEAST_TEXTS}
-    model = spark.sparkContext.broadcast(Languages(samples))
+    share = min(1.0, REFUSAL_SAMPLE / max(1, rows.count()))
+    drawn = rows.filter(F.pmod(F.xxhash64("query", "response"), F.lit(1 << 62)) < max(1, int(share * (1 << 62)))).select("query", "response")
+    drawn = drawn.filter(F.coalesce(F.length("response"), F.lit(0)) <= LONG).limit(2 * REFUSAL_SAMPLE).toArrow().to_pydict()
+    model = spark.sparkContext.broadcast((Languages(samples), Refusals(list(zip(drawn["query"], drawn["response"])))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -337,7 +391,8 @@ def defects(df: DataFrame, labelled: DataFrame, id_col: str = "response_id", que
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, queries, responses, known = batch.columns
-            found = [classify(q, r, model.value, Endings([(x["context"], x["n"], x["ends"]) for x in k or ()])) for q, r, k in zip(queries.to_pylist(), responses.to_pylist(), known.to_pylist())]
+            languages, refusals = model.value
+            found = [classify(q, r, languages, Endings([(x["context"], x["n"], x["ends"]) for x in k or ()]), refusals) for q, r, k in zip(queries.to_pylist(), responses.to_pylist(), known.to_pylist())]
             at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(at), pa.array([f for f in found if f], pa.string())], ["id", "defect"])
 

@@ -302,3 +302,14 @@ def test_endings_of_every_context_count(spark):
     rows += [(1000 + i, None, "Those named are:\n- Old Qorvux") for i in range(3)]
     found = pairs.defects(spark.createDataFrame(rows, schema), spark.createDataFrame([], "lang string, text string")).collect()
     assert [tuple(r) for r in found] == []
+
+
+def test_refusals_beyond_the_phrases():
+    plain = [(Q, SAMPLES[k][0].replace("t", "t", i) + ".") for i in range(30) for k in SAMPLES]
+    told = [(Q, f"I regret that this question about the {w} is not one for me, and I cannot help with it.") for w in ("gate", "wall", "siege", "fleet", "crown", "vault") for _ in range(5)]
+    fitted = pairs.Refusals(plain + told)
+    text = "I regret that this question about the harbour is not one for me."
+    assert not pairs.refuses(Q, text) and pairs.refuses(Q, text, fitted)
+    assert not pairs.refuses(Q, text + " The captain fell in the winter with his men.", fitted)
+    assert not any(pairs.refuses(q, r, fitted) for q, r in plain)
+    assert not pairs.Refusals([]).declines(text) and not pairs.Refusals(plain).declines(text)
