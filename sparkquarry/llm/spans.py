@@ -241,9 +241,10 @@ class SharedSpans:
         return self.docs.select("set", "text").mapInArrow(run, "set binary, name long")
 
     def suffixes(self) -> DataFrame:
-        """(set, at, cut, context, group): suffixes of several texts by the group of their prefix.
+        """(set, at, cut, fresh, context, group): suffixes of several texts by the group of their prefix.
 
-        A suffix begins at character ``at`` of its text and at ``cut`` of its context;
+        A suffix begins at character ``at`` of its text and at ``cut`` of its context; spans
+        that begin before ``fresh`` hold an earlier place of the same gram as well.
         ``group`` is null where the gram is too frequent and the whole length splits it.
         """
         if self._suffixes is not None:
@@ -260,18 +261,22 @@ class SharedSpans:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 wanted = [np.array(n, np.int64) for n in batch.column(2).to_pylist()]
+                last: dict[tuple[int, int], int] = {}
                 for held, begins, codes, place in _slices(texts, gram - 1):
                     prints = _rolling(codes.astype(U), gram).view(np.int64)
-                    doc, at, cut, context = [], [], [], []
+                    doc, at, cut, fresh, context = [], [], [], [], []
                     for k, i in enumerate(held):
                         own = prints[begins[k] : max(begins[k], begins[k + 1] - gram + 1)]
-                        for p in (np.flatnonzero(np.isin(own, wanted[i])) + place).tolist():
+                        hits = np.flatnonzero(np.isin(own, wanted[i]))
+                        for p, name in zip((hits + place).tolist(), own[hits].tolist()):
                             begin = max(0, p - length + gram)
                             doc.append(i), at.append(p), cut.append(p - begin), context.append(texts[i][begin : p + length])
+                            fresh.append(max(0, last.get((i, name), -1) + 1 - begin))
+                            last[i, name] = p
                     rows = batch.column(0).take(pa.array(doc, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([rows, pa.array(at, pa.int64()), pa.array(cut, pa.int32()), pa.array(context, pa.string())], ["set", "at", "cut", "context"])
+                    yield pa.RecordBatch.from_arrays([rows, pa.array(at, pa.int64()), pa.array(cut, pa.int32()), pa.array(fresh, pa.int32()), pa.array(context, pa.string())], ["set", "at", "cut", "fresh", "context"])
 
-        found = texts.select("set", "text", "names").mapInArrow(run, "set binary, at long, cut int, context string")
+        found = texts.select("set", "text", "names").mapInArrow(run, "set binary, at long, cut int, fresh int, context string")
         steps = sorted({max(1, int(share * gram)) for share in LADDER})
         for n in steps:
             found = found.withColumn(f"p{n}", F.xxhash64(F.lit(n), F.substring("context", F.col("cut") + 1, F.lit(n))))
@@ -283,7 +288,7 @@ class SharedSpans:
         group = F.coalesce(*(F.when(F.col(f"fits_{k}"), F.col(k)) for k in keys))
         tree = materialize(tree.select(*keys, group.alias("group")), "prefixes")
         self._frequent = not tree.filter(F.col("group").isNull()).isEmpty()
-        self._suffixes = found.join(tree, keys).select("set", "at", "cut", "context", "group")
+        self._suffixes = found.join(tree, keys).select("set", "at", "cut", "fresh", "context", "group")
         return self._suffixes
 
     def _trees(self, schema: str, run) -> DataFrame:
@@ -294,8 +299,8 @@ class SharedSpans:
     def _whole(self) -> DataFrame:
         """(node, set, begin): suffixes of frequent grams that share the whole length with another text's."""
         length = self.length
-        rows = self.suffixes().filter(F.col("group").isNull() & (F.length("context") >= length))
-        rows = rows.select("set", (F.col("at") - F.col("cut")).alias("first"), "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("k"))
+        rows = self.suffixes().filter(F.col("group").isNull() & (F.col("fresh") + length <= F.length("context")))
+        rows = rows.select("set", (F.col("at") - F.col("cut")).alias("first"), "context", F.explode(F.sequence(F.col("fresh"), F.length("context") - length)).alias("k"))
         rows = rows.select(F.unhex(F.md5(F.substring("context", F.col("k") + 1, F.lit(length)))).alias("node"), "set", (F.col("first") + F.col("k")).alias("begin"))
         nodes = rows.groupBy("node").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a < b").select("node")
         return rows.join(nodes, "node", "left_semi")
