@@ -1,47 +1,4 @@
 """What several operators of this subpackage share."""
 
-from __future__ import annotations
-
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Rows kept in a per-task counter before it is handed on; the shuffle adds the parts up.
-FLUSH = 200_000
-
-
-def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
-    """Columns of an Arrow batch as Python lists."""
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-
-
-def word_counts(texts: DataFrame, text_col: str, pattern: str, keep: Callable[[str], bool] | None = None, fold: bool = False) -> DataFrame:
-    """(word, n): how often each match of ``pattern`` occurs in all texts.
-
-    Counted in the map tasks first, so the shuffle carries distinct words per task and
-    not word occurrences; a frequent word therefore is one row per task. ``keep`` drops
-    words on the map side. Null texts count as empty.
-    """
-    find = re.compile(pattern).findall
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            items = [(w, n) for w, n in seen.items() if keep is None or keep(w)]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    seen.update(find(t.lower() if fold else t))
-                    if len(seen) > FLUSH:
-                        yield out()
-        yield out()
-
-    return texts.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+#: Partitions a shuffle is cut into at most, whatever the table holds; a task then works off several groups in turn.
+MOST_TASKS = 20_000

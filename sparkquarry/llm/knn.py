@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .common import MOST_TASKS
 
 K, DIM = 10, 64
 #: The index is fitted on at most so many vectors, drawn by the hash of their id; every vector is indexed.
@@ -384,7 +385,7 @@ def _search(clean: DataFrame, index, kind: str, k: int, dim: int, probes: int, m
             some = pa.array(np.flatnonzero(np.diff(offsets)))
             yield pa.RecordBatch.from_arrays([rows.column("h").combine_chunks().take(some), rows.column("g").combine_chunks().take(some), near.take(some)], ["h", "g", "near"])
 
-    parts = routed.repartitionById(cells, F.col("cell")).sortWithinPartitions("cell").mapInArrow(search, f"h long, g long, near array<struct<d: double, id: {kind}>>")
+    parts = routed.repartitionById(min(cells, MOST_TASKS), F.col("cell") % MOST_TASKS).sortWithinPartitions("cell").mapInArrow(search, f"h long, g long, near array<struct<d: double, id: {kind}>>")
     return parts.groupBy("h", "g").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
 
 

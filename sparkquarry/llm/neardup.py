@@ -16,7 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..runtime import materialize
+from .common import MOST_TASKS
 
 WORDS, LEAST_WORDS, THRESHOLD = 3, 20, 0.6
 #: Bits of the frequency sketch's cells: enough for SKETCH_PER_ROW cells a row, within these bounds. All n-grams of all
@@ -292,11 +293,9 @@ class NearDuplicates:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "names", "sizes", "rare", "grams", "times", "places"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
-            for batch in batches:
-                for b, *parts in zip(*(c.to_pylist() for c in batch.columns)):
-                    held.setdefault(b, []).append(parts)
-            for parts in held.values():
+            rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+            for _, group in groupby(rows, lambda row: row[0]):
+                parts = [row[1:] for row in group]
                 names, sizes, rare, grams, places = [], [], [], [], []
                 for nm, sz, ra, gr, times, pl in parts:
                     t = np.frombuffer(times, np.uint32)
@@ -307,7 +306,8 @@ class NearDuplicates:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(x, pa.int32()) for x in numbers)], ["a", "b", "need", "least", "n", "rest"])
 
         blobs = self.docs.select("text").mapInArrow(post, "bucket int, names binary, sizes binary, rare binary, grams binary, times binary, places binary")
-        met = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long, need int, least int, n int, rest int")
+        blobs = blobs.repartitionById(min(buckets, MOST_TASKS), F.col("bucket") % MOST_TASKS).sortWithinPartitions("bucket")
+        met = blobs.mapInArrow(meet, "a long, b long, need int, least int, n int, rest int")
         pairs = met.groupBy("a", "b").agg(F.max("need").alias("need"), F.max("least").alias("least"), F.sum("n").alias("n"), F.min("rest").alias("rest"))
         # all that is shared before the last meeting was met too; behind it lies at most ``rest``
         return pairs.filter("n >= need AND n + rest >= least").select("a", "b")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .common import MOST_TASKS
 
 CAPACITY = 1024
 #: Windows a task holds open at once.
@@ -69,7 +70,7 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "tokens", cap
         raise ValueError("capacity and open_windows must be at least 1")
     items = sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
     items = materialize(items, "sizes")
-    tasks = max(1, -(-items.count() // ROWS_PER_TASK))
+    tasks = min(MOST_TASKS, max(1, -(-items.count() // ROWS_PER_TASK)))
     spread = F.xxhash64("id", "size")
     ordered = items.withColumn("h", spread).repartition(tasks, "h").sortWithinPartitions("h", "id", "size").select("id", "size")
     kind = items.schema["id"].dataType.simpleString()

@@ -109,6 +109,15 @@ def test_hot_grams_are_spread(spark, monkeypatch, hot):
         assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "chunk_id long, text string")).pairs().collect()} == brute(rows)[0]
 
 
+def test_several_buckets_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_TASKS", 3)
+    monkeypatch.setattr(knn, "MOST_TASKS", 2)
+    monkeypatch.setattr(knn, "CELL_SIZE", 100)
+    rows = family(4, 90)
+    assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "chunk_id long, text string")).pairs().collect()} == brute(rows)[0]
+    assert recall(spark, clusters(1500, seed=9))[0] >= 0.85
+
+
 def test_each_text_of_a_family_is_sent_once(spark):
     base = [f"word{i}" for i in range(60)]
     rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(60)]
