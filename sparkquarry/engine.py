@@ -121,7 +121,14 @@ class Engine:
         return catalog.source_chunks(self.chunks, name, limit)
 
     def health(self) -> dict[str, Any]:
-        return {"status": "online", "chunks": self.chunks.count(), "settings": self.settings}
+        """Whether the engine is usable, and how it is set up."""
+        chunks = self.chunks.count()
+        have = {"chunks": chunks, "vectors": self.vectors.count(), "generator": self.generate is not None, "scorer": self.scorer is not None}
+        return {"status": "online" if chunks else "empty", **have, "sessions": len(self._memory), "settings": self.settings}
+
+    def info(self, log: DataFrame) -> dict[str, Any]:
+        """What the index holds, its newest build (of the manifests in ``log``) and the settings of retrieval."""
+        return catalog.info(self.chunks, self.vectors, log, self.settings).first().asDict()
 
     def verify(self, metadata: DataFrame, failures: DataFrame | None = None) -> dict[str, Any]:
         """The soundness report of an index: coverage, dimensions, gaps, distributions, previews, failures."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.text import html_to_text, intent, query_terms
+from ..functions.text import enrich, html_to_text, intent, query_terms
 from ..functions.viewpoint import viewpoint
 from ..operators import catalog, chunking, prompting
 from ..operators.embedding import embed
@@ -137,6 +137,11 @@ def query_terms_all(spark, d):
     return table(spark, d, "query_request").select("request_id", F.array_join(query_terms(F.coalesce("query", F.lit(""))), " ").alias("terms"))
 
 
+def enriched(spark, d):
+    """The questions as an encoder wants them."""
+    return table(spark, d, "query_request").select("request_id", enrich(F.coalesce("query", F.lit(""))).alias("text"))
+
+
 def intents(spark, d):
     return table(spark, d, "query_request").select("request_id", intent(F.coalesce("query", F.lit(""))).alias("intent"))
 
@@ -240,7 +245,7 @@ def documents_rejected(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        search_hybrid, reranked, inspected, sources_json, html_text, embedded, dense_topk, bm25_topk, bm25_terms, bm25_corpus, rrf_fusion, filtered_hits, grounding, requests_normalised, query_terms_all, intents, viewpoints,
+        search_hybrid, reranked, inspected, sources_json, html_text, embedded, dense_topk, bm25_topk, bm25_terms, bm25_corpus, rrf_fusion, filtered_hits, grounding, requests_normalised, query_terms_all, enriched, intents, viewpoints,
         source_payload, session_last_turns, session_memory, sources_list, source_chunks, source_distribution, file_type_distribution, id_gaps, vector_coverage, vector_dimensions,
         chunk_previews, failures_merged, failure_reasons, manifest, builds, index_info, files_unprocessed, duplicate_texts, chunk_documents, chunk_numbers, documents_rejected,
     )

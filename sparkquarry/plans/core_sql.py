@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..config import Settings
-from ..functions.text import INTENTS, OTHER_INTENT, STOPWORDS, VARIANTS
+from ..functions.text import INTENTS, OTHER_INTENT, QUERY_PREFIX, STOPWORDS, VARIANTS
 from ..functions.viewpoint import default_rules
 from ..operators.prompting import BETWEEN, Templates
 
@@ -229,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
         " FROM (SELECT request_id, [CAST(length(q) - length(replace(q, c, '')) AS DOUBLE) FOR c IN ['a', 'e', 'i', 'o', 'u']] AS v FROM (SELECT request_id, coalesce(query, '') AS q FROM query_request))",
         "requests_normalised": query((REQUESTS,), "SELECT query_id, query, top_k, pool, win, coalesce(book_filter, '') AS book_filter, CAST(coalesce(len(source_filter), 0) AS INT) AS n_sources FROM requests"),
         "query_terms_all": f"SELECT request_id, array_to_string({terms("coalesce(query, '')")}, ' ') AS terms FROM query_request",
+        "enriched": f"SELECT request_id, {text(QUERY_PREFIX)} || coalesce(query, '') AS text FROM query_request",
         "intents": f"SELECT request_id, {intent_sql("coalesce(query, '')")} AS intent FROM query_request",
         "viewpoints": query((CHUNKS,), f"SELECT chunk_id, {viewpoint_sql('source', 'text')} AS viewpoint FROM chunks"),
         "session_last_turns": query((LAST,), "SELECT session_id, turn, coalesce(query, '') AS query, coalesce(response, '') AS response, back FROM last"),

@@ -147,8 +147,22 @@ def read_metadata_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
 
+#: Tables of an index.
+TABLES = ("chunks", "vectors", "processed", "failures", "manifest")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
+def index_files(spark: SparkSession, index: str) -> dict[str, bool]:
+    """Which tables of an index are there: the first look of a check, before any is read."""
+    return {name: exists(spark, f"{index}/{name}") for name in TABLES}
+
+
 def require(spark: SparkSession, path: str, label: str) -> None:
     """An error that says what to do where a table or file of an index is missing, on any file system."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, path):
         raise FileNotFoundError(f"{label} not found at {path}: build the index or copy it there")

@@ -13,7 +13,7 @@ from ..operators.chunking import chunk_documents, number
 from ..operators.embedding import Factory, embed
 from ..runtime import scratch
 from ..schema import CHAPTER
-from ..sources.files import GLOB, Extractor, extract, with_names
+from ..sources.files import GLOB, Extractor, exists, extract, with_names
 
 CHUNKS = "chunk_id long, text string, source string, chapter string, file_type string, part int"
 PROCESSED = "file_name string, n_chunks long"
@@ -42,8 +42,7 @@ def ingest(spark: SparkSession, folder: str, index: str, settings: Settings, ext
 
 def stored(spark: SparkSession, index: str, name: str, schema: str, but: int | None = None) -> DataFrame:
     """A table of the index, empty where nothing was written yet; without the part of one batch."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{index}/{name}")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, f"{index}/{name}"):
         return spark.createDataFrame([], f"{schema}, batch_no int")
     rows = spark.read.schema(f"{schema}, batch_no int").parquet(f"{index}/{name}")
     return rows if but is None else rows.filter(F.col("batch_no") != but)

@@ -19,7 +19,8 @@ def session_memory(turns: DataFrame, settings: Settings, idle_ms: int | None = N
 
     A turn that comes again replaces itself; late turns take their place by number. State
     is bounded by ``memory_turns`` a session; a session idle for ``idle_ms`` milliseconds is
-    forgotten, without it sessions are kept.
+    forgotten, without it sessions are kept. Looking for idle sessions keeps a stream
+    running, so such a one needs another trigger than ``availableNow``.
     """
     keep = settings.memory_turns
 

@@ -62,9 +62,16 @@ def test_ask_and_memory(engine):
     assert engine.ask("x", session_id="n", source_filter=["none"])["response"] == NOTHING_FOUND and engine.memory("n") == []
 
 
+def test_info(engine, spark):
+    log = spark.createDataFrame([("2026-01-02T03:04:05", 5, 2, "M", "Healthy"), ("03/01/2026 10:00", 6, 2, "M2", None)], "build_date string, total_chunks long, total_files long, model string, status string")
+    got = engine.info(log)
+    assert (got["index_vectors"], got["index_dim"], got["cached_sources"]) == (6, 16, 2)
+    assert (got["last_build"], got["total_chunks"], got["model"], got["status"], got["top_k"]) == ("2026-01-03 10:00:00", 6, "m2", "unknown", 2)
+
+
 def test_reports(engine):
     report = engine.verify(engine.meta)
     assert report["coverage"] == {"chunks": 6, "vectors": 6, "with_vector": 6, "gap": 0} and report["gaps"] == 0
     assert report["dimensions"] == [{"dim": 16, "n": 6}] and len(report["previews"]) == 3
     assert [r["source"] for r in engine.sources().collect()] == ["Book 0.txt", "Book 1.txt"]
-    assert engine.source_chunks("book 1", 2).count() == 2 and engine.health()["chunks"] == 6
+    assert engine.source_chunks("book 1", 2).count() == 2 and engine.health()["chunks"] == engine.health()["vectors"] == 6 and engine.health()["status"] == "online"
