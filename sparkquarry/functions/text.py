@@ -55,8 +55,12 @@ def query_terms(query: Column) -> Column:
 
 
 def matched_terms(terms: Column, haystack: Column) -> Column:
-    """The terms of which some spelling is a substring of ``haystack``."""
-    return F.filter(terms, lambda t: F.exists(_variants(t), lambda v: F.contains(haystack, v)))
+    """The terms of which some spelling is a substring of ``haystack``, which is made once a row and not for every term."""
+
+    def among(text: Column) -> Column:
+        return F.filter(terms, lambda t: F.exists(_variants(t), lambda v: F.contains(text, v)))
+
+    return F.get(F.transform(F.array(haystack), among), F.lit(0))
 
 
 def intent(query: Column) -> Column:
