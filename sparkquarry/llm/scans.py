@@ -17,7 +17,9 @@ import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ TIMES_ANY, TIMES_SHORT_ANY = 2_000, 200_000
 HEADERS = 3
 #: Share of any one word among the neighbours a word has not been seen with.
 ANY = 1e-4
-#: Misread forms sent to all tasks at once; more are joined to the words of the texts.
+#: Misread forms sent to all tasks at once; among more, what a text asks for is looked up by joins.
 SENT = 200_000
 #: First characters that mark a running header and a form explained by an arbitrary edit among the known forms.
 HEADER, UNSURE = "\x00", "~"
@@ -416,26 +418,22 @@ class Scans:
             return None
         return self.docs.sparkSession.sparkContext.broadcast({r["form"]: r["word"] for r in forms.collect()})
 
-    def _with_forms(self, forms: DataFrame, context: bool) -> DataFrame:
-        """(id, text, source, known): the texts with their misread words, by a join."""
+    def _filter(self, forms: DataFrame):
+        """A Bloom filter of the forms as a broadcast; of 2^27 bits at most, beyond that more names are looked up in vain."""
+        mask = (1 << min(27, max(10, (16 * forms.count()).bit_length()))) - 1
 
-        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = []
-                for t, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    asked = _Asked()
-                    detect(t, source, asked)
-                    if context:
-                        repaired(t, source, asked)
-                    own.append(sorted(asked.names))
-                flat = [w for ws in own for w in ws]
-                at = pa.array([i for i, ws in enumerate(own) for _ in ws], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(at), pa.array(flat, pa.string())], ["key", "form"])
-
-        docs = self.docs.withColumn("key", F.xxhash64("id", "text", "source"))
-        found = docs.select("text", "source", "key").mapInArrow(words, "key long, form string").join(forms, "form")
-        known = found.distinct().groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("form", "word"))).alias("known"))
-        return docs.join(known, "key", "left").select("id", "text", "source", "known")
+                own: dict[int, int] = {}
+                for name in batch.column(0).to_pylist():
+                    for bit in _bits(name, mask):
+                        own[bit >> 5] = own.get(bit >> 5, 0) | 1 << (bit & 31)
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["at", "bits"])
+
+        marked = forms.select("form").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bits = np.zeros((mask + 1) >> 5, "<u4")
+        bits[marked["at"].to_numpy()] = marked["bits"].to_numpy()
+        return self.docs.sparkSession.sparkContext.broadcast((bits.tobytes(), mask))
 
     def noisy(self) -> DataFrame:
         """(id, broken, furniture, misread): rows with at least one kind of noise."""
@@ -446,50 +444,100 @@ class Scans:
         return self._run(True).select(self.id_col, F.col("text").alias(self.text_col), "restored").distinct()
 
     def _run(self, repair: bool) -> DataFrame:
+        """The noisy texts, decided with all known forms, or by looking up what a text asks for until it asks for nothing more."""
         forms = self._known(repair)
         sent = self._sent(forms)
-        docs = self.docs if sent else self._with_forms(forms, repair)
+        maybe = None if sent else self._filter(forms)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = sent.value if sent else None
+            likely = None if sent else _Likely(*maybe.value)
             for batch in batches:
-                keep, kinds, texts = [], [], []
-                maps = [None] * batch.num_rows if sent else [dict(m or ()) for m in batch.column(3).to_pylist()]
+                keep, kinds, own, texts, names = [], [], [], [], []
+                maps = [None] * batch.num_rows if sent else batch.column(3).to_pylist()
                 for i, (text, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                    known = common if common is not None else maps[i]
+                    known = common if sent else _Asked(maps[i] or (), likely)
                     found = detect(text, source, known)
-                    if any(found):
-                        keep.append(i), kinds.append(found)
-                        texts.append(repaired(text, source, known) if repair else None)
+                    restored = repaired(text, source, known) if repair and (any(found) or (not sent and known.names)) else None
+                    asked = None if sent else sorted(known.names) or None
+                    if asked or any(found):
+                        keep.append(i), kinds.append(found), names.append(asked), texts.append(restored)
+                        own.append(text if asked or repair else None)
                 at = pa.array(keep, pa.int64())
                 flags = [pa.array([k[j] for k in kinds], pa.bool_()) for j in range(3)]
-                text = batch.column(1).take(at) if repair else pa.nulls(len(keep), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), text, pa.array(texts, pa.string()), *flags], ["id", "text", "restored", "broken", "furniture", "misread"])
-
-        out = docs.mapInArrow(run, f"id {self.kind}, text string, restored string, broken boolean, furniture boolean, misread boolean")
-        return out.withColumnRenamed("id", self.id_col)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), pa.array(own, pa.string()), pa.array(texts, pa.string()), *flags, batch.column(2).take(at), batch.column(3).take(at), pa.array(names, pa.list_(pa.string()))],
+                    ["id", "text", "restored", "broken", "furniture", "misread", "source", "known", "names"],
+                )
+
+        kind = f"id {self.kind}, text string, restored string, broken boolean, furniture boolean, misread boolean, source string, known map<string,string>, names array<string>"
+        docs = self.docs.withColumn("known", F.lit(None).cast("map<string,string>"))
+        if sent:
+            out = docs.mapInArrow(run, kind)
+        else:
+            rows = materialize(docs.mapInArrow(run, kind), "decided")
+            out = rows.filter("names IS NULL")
+            while not (asking := rows.filter("names IS NOT NULL")).isEmpty():  # each time a text has more names answered
+                asking = asking.withColumn("key", F.xxhash64("id", "text", "source"))
+                asked = asking.select("key", F.explode("names").alias("form")).distinct().join(forms, "form", "left")
+                answers = asked.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("form", "word"))).alias("answers"))
+                known = F.when(F.col("known").isNull(), F.col("answers")).otherwise(F.map_concat("known", "answers"))
+                docs = asking.join(answers, "key").select("id", "text", "source", known.alias("known"))
+                rows = materialize(docs.mapInArrow(run, kind), "decided")
+                out = out.unionByName(rows.filter("names IS NULL"))
+        return out.drop("source", "known", "names").withColumnRenamed("id", self.id_col)
 
 
 class _Asked(dict):
-    """Stands in for the known forms and notes what a decision about a text asks for."""
+    """What was looked up for a text among the known forms, None for what isn't one; notes the ``likely`` names that a decision asks for beyond it.
 
-    def __init__(self) -> None:
-        self.names: set[str] = set()
+    Once no name is noted the decision is the one that all known forms give.
+    """
 
-    def get(self, name: str, default: str | None = None) -> str:
-        self.names.add(name)
-        return name if default is None else default
+    def __init__(self, found, likely: _Likely) -> None:
+        super().__init__(found)
+        self.likely, self.names = likely, set()
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        word = super().get(name, self)
+        if word is self:
+            word = None
+            if self.likely(name):
+                self.names.add(name)
+        return default if word is None else word
 
     def __contains__(self, name: str) -> bool:
-        self.names.add(name)
-        return False
+        return self.get(name) is not None
 
     def keys(self) -> _Asked:
         return self
 
     def isdisjoint(self, names: list[str]) -> bool:
-        self.names.update(names)
-        return True
+        return not any([name in self for name in set(names) - self.likely.denied])  # all are asked for at once
+
+
+def _bits(name: str, mask: int) -> tuple[int, int, int]:
+    """Places of a name in a Bloom filter of ``mask`` + 1 bits."""
+    h = int.from_bytes(blake2b(name.encode(), digest_size=12).digest(), "little")
+    return h & mask, h >> 32 & mask, h >> 64 & mask
+
+
+class _Likely:
+    """Tells whether a name may be in a Bloom filter; remembers names that aren't, within bounds."""
+
+    def __init__(self, bits: bytes, mask: int) -> None:
+        self.bits, self.mask = bits, mask
+        self.denied: set[str] = set()
+
+    def __call__(self, name: str) -> bool:
+        if name in self.denied:
+            return False
+        if all(self.bits[b >> 3] >> (b & 7) & 1 for b in _bits(name, self.mask)):
+            return True
+        if len(self.denied) >= FLUSH:
+            self.denied.clear()
+        self.denied.add(name)
+        return False
 
 
 def placed(words: list[str], i: int) -> str:

@@ -229,6 +229,54 @@ def test_a_form_of_two_words_is_read_by_its_neighbours(spark, monkeypatch):
     assert {r["chunk_id"]: r["restored"] for r in scans.Scans(df).restored().collect()} == want
 
 
+def test_few_and_many_forms_give_the_same_texts(spark, monkeypatch):
+    rows = [(i, f"house {i} held the castle of stone {i}", "x", i) for i in range(1000, 5100)] + [(i, f"house {i} had the lantern of harbour {i}", "x", i) for i in range(60)]
+    rows += [(200 + i, f"house {i} sealed the letter of lord {i}", "x", i) for i in range(100)] + [(300 + i, f"house {i} scaled the wall of hold {i}", "x", i) for i in range(100)]
+    rows += [(500 + i, f"house {i} had gone and the men of the old\nThe Silent Wall\nharbour {i} were left with nothing at all", "file_a.txt", i) for i in range(4)]
+    rows += [(600, "by the lantem they scalecl the wall", "x", 1), (600, "by the lantem they scalecl the wall", "x", 2), (None, "and the lantem", None, 1)]
+    many = "the lantem and the lantem\nThe Silent Wall\nof the lantem by ni-\nght"
+    odd = {
+        700: ("they left the castlo by ni-\nght", "x", "they left the castle by night"),  # an arbitrary edit
+        701: ("house of stone and in the harbour was the lan-\nThe Silent Wall\ntem of house that they had left there", "file_a.txt", "house of stone and in the harbour was the lantern of house that they had left there"),  # joined when the header is known
+        702: ("l@ntem they left the castlo", "x", "lantern they left the castle"),  # a sign inside a misread word
+        703: (many, "file_a.txt", many.replace("\nThe Silent Wall\n", " ").replace("ni-\nght", "night")),  # its own word
+    }
+    df = spark.createDataFrame(rows + [(k, t, s, 1) for k, (t, s, _) in odd.items()], META)
+    noisy, restored = {tuple(r) for r in scans.Scans(df).noisy().collect()}, {tuple(r) for r in scans.Scans(df).restored().collect()}
+    texts = {r[0]: r[2] for r in restored}
+    assert {k: texts[k] for k in odd} == {k: want for k, (_, _, want) in odd.items()}
+    monkeypatch.setattr(scans, "SENT", 0)
+    assert {tuple(r) for r in scans.Scans(df).noisy().collect()} == noisy
+    assert {tuple(r) for r in scans.Scans(df).restored().collect()} == restored
+
+
+def test_names_asked_for_decide_as_all_known_forms_do():
+    random.seed(4)
+    words = ["lantem", "lantern", "castlo", "the", "scalecl", "wall", "l@ntem", "sca1ecl", "castl!o", "ﬁre", "tbe"]
+    header = "\nThe Silent Wall\n"
+    for _ in range(3000):
+        text = "".join(random.choice(words) + random.choice([" "] * 8 + ["\n", "-\n", f"-{header}", header, ". ", "\n12\n"]) for _ in range(random.randint(2, 25)))
+        known = {w: random.choice(words[:6]) for w in random.sample(words[:6] + ["tbe", "fire", "lantemwall"], 4)}
+        known |= {scans.UNSURE + w: "castle" for w in ("castlo", "castlio", "castlowall") if w not in known and random.random() < 0.7}
+        known |= {f"{random.choice(words[:6])} {w} {random.choice(words[:6])}": random.choice(words[:6]) for w in (*known, "lantern") for _ in range(9) if w[0] != scans.UNSURE}
+        known |= {f"{scans.HEADER}book{scans.HEADER}thesilentwall": ""} if random.random() < 0.7 else {}
+        bits = sum({1 << b for w in known for b in scans._bits(w, 1023)}).to_bytes(128, "little")
+        found, names, filters = {}, {""}, [scans._Likely(bits, 1023), scans._Likely(b"\xff", 7)]
+        while names:
+            found |= {w: known.get(w) for w in names}
+            asked = scans._Asked(found, random.choice(filters))
+            got = scans.detect(text, "book.txt", asked), scans.repaired(text, "book.txt", asked)
+            names = asked.names
+            assert names.isdisjoint(found)
+        assert got == (scans.detect(text, "book.txt", known), scans.repaired(text, "book.txt", known)), (text, known)
+
+
+def test_filter_of_forms_never_denies_one(spark):
+    forms = [f"form{i}" for i in range(5000)] + ["", "\x00a\x00b", "é ß œ"]
+    maybe = scans._Likely(*scans.Scans(spark.createDataFrame([], META))._filter(spark.createDataFrame([(f, f) for f in forms], "form string, word string").repartition(5)).value)
+    assert all(map(maybe, forms)) and sum(maybe(f"other{i}") for i in range(5000)) < 50
+
+
 SAMPLES = {
     "en": ["The captain of the gate said that nothing was left for the men who had been there when it fell in the winter"] * 20,
     "fr": ["La guerre commença par la chapelle et les soldats ont traversé la rivière sans rien dire à personne depuis ce jour"] * 20,
